@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.quality_rules import op4_quality_rules
 from tessera.llm.warc_store import OP2_SQL, op2_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_warc": op2_warc,
+        "op4_quality_rules": op4_quality_rules,
     }
 
 
