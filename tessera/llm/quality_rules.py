@@ -237,8 +237,9 @@ def learn(
     cut = rows.agg(
         *[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES],
         *[F.percentile_approx(F.when(F.col(f) > 0, F.col(f)), points, 10_000).alias(f"{f}+") for f in FEATURES],
+        *[(F.min(F.when(F.col(f) > 0, F.col(f))) / 2).alias(f"{f}/2") for f in FEATURES],
     ).first()
-    cuts = {f: sorted({*(cut[f] or []), *(cut[f"{f}+"] or [])}) for f in FEATURES}
+    cuts = {f: sorted({*(cut[f] or []), *(cut[f"{f}+"] or []), *([] if cut[f"{f}/2"] is None else [cut[f"{f}/2"]])}) for f in FEATURES}
     # index of a value: how many thresholds lie below it, so index > k means value > threshold k
     coded = rows.select(
         *[

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.packing import op6_packing
 from tessera.llm.quality_rules import op4_quality_rules
+from tessera.llm.token_archive import op3_token_archive
 from tessera.llm.warc_store import OP2_SQL, op2_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +17,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_warc": op2_warc,
+        "op3_token_archive": op3_token_archive,
         "op4_quality_rules": op4_quality_rules,
+        "op6_packing": op6_packing,
     }
 
 
