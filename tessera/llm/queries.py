@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.packing import op6_packing
+from tessera.llm.pii import op7_pii
 from tessera.llm.quality_rules import op4_quality_rules
 from tessera.llm.token_archive import op3_token_archive
 from tessera.llm.warc_store import OP2_SQL, op2_warc
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op3_token_archive": op3_token_archive,
         "op4_quality_rules": op4_quality_rules,
         "op6_packing": op6_packing,
+        "op7_pii": op7_pii,
     }
 
 
