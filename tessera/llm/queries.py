@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.near_dedup import op1_near_dedup
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import op7_pii
 from tessera.llm.quality_rules import op4_quality_rules
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_warc": op2_warc,
         "op3_token_archive": op3_token_archive,
         "op4_quality_rules": op4_quality_rules,
