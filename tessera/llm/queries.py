@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import op10_decontaminate
 from tessera.llm.near_dedup import op1_near_dedup
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import op7_pii
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op6_packing": op6_packing,
         "op7_pii": op7_pii,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
