@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import op10_decontaminate
 from tessera.llm.near_dedup import op1_near_dedup
+from tessera.llm.ngram_lm import op8_lm_score
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import op7_pii
 from tessera.llm.quality_rules import op4_quality_rules
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op6_packing": op6_packing,
         "op7_pii": op7_pii,
+        "op8_lm_score": op8_lm_score,
         "op10_decontaminate": op10_decontaminate,
     }
 
