@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.bwt_dedup import op9_bwt_dedup
 from tessera.llm.decontaminate import op10_decontaminate
 from tessera.llm.near_dedup import op1_near_dedup
 from tessera.llm.ngram_lm import op8_lm_score
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import op7_pii
 from tessera.llm.quality_rules import op4_quality_rules
+from tessera.llm.substring_dedup import op5_substring_dedup
 from tessera.llm.token_archive import op3_token_archive
 from tessera.llm.warc_store import OP2_SQL, op2_warc
 
@@ -24,9 +26,11 @@ def queries() -> dict[str, Query]:
         "op2_warc": op2_warc,
         "op3_token_archive": op3_token_archive,
         "op4_quality_rules": op4_quality_rules,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_packing": op6_packing,
         "op7_pii": op7_pii,
         "op8_lm_score": op8_lm_score,
+        "op9_bwt_dedup": op9_bwt_dedup,
         "op10_decontaminate": op10_decontaminate,
     }
 
