@@ -47,15 +47,15 @@ def _count_kept(text: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kept}]++", "")).cast("long")
 
 
-def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the base counts and ``FEATURES`` of every document.
+def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the base counts and ``FEATURES`` of every document, and the columns ``keep``.
 
     Repeated words: the three-word windows of a text are hashed (64 bits) with their
     positions and sorted, so equal windows stand side by side; every word
     of a window that occurs again counts once.
     """
     text = F.col("_text")
-    w = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn(
+    w = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn(
         "_words", words(text)
     )
     w = w.withColumn("n_words", F.size("_words").cast("long"))
@@ -85,6 +85,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]")))
     w = w.withColumn("_lines", lines).select(
         id_col,
+        *keep,
         "n_words",
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _count_kept(text, r"#*$%&|<>").alias("n_symbols"),
@@ -112,7 +113,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "bars_per_word": F.col("_n_bar") / n_words,
         "words_per_line": F.col("n_words") / n_lines,
     }
-    return w.select(id_col, *BASE_COUNTS, *[made[f].alias(f) for f in FEATURES])
+    return w.select(id_col, *keep, *BASE_COUNTS, *[made[f].alias(f) for f in FEATURES])
 
 
 def base_failed() -> Column:
