@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.plans import q_tables
+
+_MODULES = (q_tables,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
