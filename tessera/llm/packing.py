@@ -37,13 +37,13 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([END_ID], enc.dtype)
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo, found, offsets in enc.encode(batch.column(1)):
                 n, full, rest, rest_crc = [], [], [], []
-                for raw in enc.encode_batch(part.column(1).to_pylist()):
-                    ids = np.append(np.frombuffer(raw, enc.dtype), end).astype("<u4")
+                wide, at = found.astype("<u4"), offsets.tolist()
+                for a, b in zip(at, at[1:]):
+                    ids = np.concatenate([wide[a:b], end])
                     whole = len(ids) // width
                     n.append(len(ids))
                     full.append([zlib.crc32(ids[i * width : (i + 1) * width]) for i in range(whole)])
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, wi
                     rest_crc.append(zlib.crc32(ids[whole * width :]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        batch.column(0).slice(lo, len(n)),
                         pa.array(n, pa.int64()),
                         pa.array(full, pa.list_(pa.int64())),
                         pa.array(rest, pa.int32()),
@@ -156,7 +156,9 @@ def pack(
     """One row per piece: where it comes from and where it stands."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(_numbered(token_pieces(docs, id_col, text_col, tokenizer, width), n), "pieces")
+    # written first: range partitioning reads its input twice, once for a sample
+    pieces = materialize(token_pieces(docs, id_col, text_col, tokenizer, width), "encoded")
+    rows = materialize(_numbered(pieces, n), "pieces")
     totals = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("full")).cast("long").alias("f")).collect()
     row_base, full_base, r, f = {}, {}, 0, 0
     for t in sorted(totals, key=lambda t: t["part"]):  # one row per partition

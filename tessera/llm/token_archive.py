@@ -152,13 +152,13 @@ def _encode_texts(tokenizer: str, block_tokens: int):
             )
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part_of = batch.slice(lo, 512)
-                keys = part_of.column(0).to_pylist()
-                for key, ids in zip(keys, enc.encode_batch(part_of.column(1).to_pylist()), strict=True):
+            keys = batch.column(0).to_pylist()
+            for lo, ids, offsets in enc.encode(batch.column(1)):
+                at = offsets.tolist()
+                for key, a, b in zip(keys[lo:], at, at[1:]):
                     doc_ids.append(key)
-                    raw.append(ids + end)
-                    lengths.append(len(raw[-1]) // enc.dtype.itemsize)
+                    raw.append(ids[a:b].tobytes() + end)
+                    lengths.append(b - a + 1)
                     held += lengths[-1]
                     if held >= block_tokens:
                         yield block()

@@ -2,17 +2,20 @@
 
 Encoding whole texts spends most of its time on words that it has met before.
 A byte-level BPE never merges across the boundary in front of a space that
-follows another character than white space, so a text is cut there, and the
+precedes another character than white space, so a text is cut there, and the
 ids of each unit are looked up or encoded once.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+
+from tessera.llm.hashing import prefix_sums, span_hashes, text_chunks
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -20,6 +23,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: The id that ends every document.
 END_ID = 0
+#: Bytes that start a character which is no white space: ASCII above the space, and lead bytes
+#: other than those of U+0080-U+00BF and U+1000-U+3FFF, where the further white space lies.
+_SOLID_START = np.zeros(256, bool)
+_SOLID_START[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 def tokenizer_path(name: str) -> str:
     """A path as it is, or the place of a public vocabulary file on this machine."""
     if os.sep in name:
@@ -30,60 +37,90 @@ def tokenizer_path(name: str) -> str:
 
 
 class UnitEncoder:
-    """Encodes texts unit by unit; at most about ``max_cached`` units stay in memory.
+    """Encodes columns of texts unit by unit; at most about ``max_cached`` units stay in memory.
 
-    A unit that starts with further white space after its space may belong together with what
-    stands before it, so a text with such a unit is encoded as a whole.
+    A unit begins at each space that a character follows which is surely no white space. There a
+    token begins too: white space in front of such a space is a token of its own. Units are
+    told apart by 64-bit hashes, found for a whole batch at once.
     """
 
-    def __init__(self, name: str = DEFAULT_TOKENIZER, max_cached: int = 1_000_000):
+    def __init__(self, name: str = DEFAULT_TOKENIZER, max_cached: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.wide = self._tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self._max, self._units = max_cached, {}
-        # tokens that begin with a space: they open a unit, for a unit has no space but its first character
-        self._opens = np.zeros(self._tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u4" if size > 1 << 16 else "<u2")
+        self._max = max_cached
+        # tokens that begin with a space: most units have one, at their start
+        self._opens = np.zeros(size, bool)
         for token, i in self._tokenizer.get_vocab(with_added_tokens=True).items():
             self._opens[i] = token.startswith("\u0120")
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode units, many to a text, and cut the ids where a unit opens."""
-        size = self.dtype.itemsize
-        for i in range(0, len(units), 512):
-            some = units[i : i + 512]
-            ids = np.array(
-                self._tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.dtype
-            )
-            at = np.flatnonzero(self._opens[ids])
-            if len(at) == len(some):
-                raw, ends = ids.tobytes(), (np.append(at[1:], len(ids)) * size).tolist()
-                self._units.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-            else:  # not expected of a byte-level vocabulary
-                self._units.update(zip(some, self._whole([" " + u for u in some]), strict=True))
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers of 2 bytes (4 if the vocabulary is larger)."""
-        cut = [(text or "").split(" ") for text in texts]
-        heads = self._whole([units[0] for units in cut])
-        known = self._units
-        if len(known) > self._max:
-            known.clear()
-        met = set().union(*[units[1:] for units in cut])
-        self._learn([u for u in met if u not in known and u and not u[0].isspace()])
-        get, out = known.__getitem__, []
-        for text, head, units in zip(texts, heads, cut, strict=True):
-            try:
-                out.append(head + b"".join(map(get, islice(units, 1, None))))
-            except KeyError:
-                out.append(self._whole([text])[0])
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known, self._at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, place in the pool
+        self._count, self._pool = np.zeros(0, np.int32), np.zeros(0, self.dtype)
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        """Encode new units, many plain ones as one text whose ids are cut where a unit opens."""
+        plain = np.array([u[:1] == " " and u.find(" ", 1) < 0 for u in units], bool)
+        ids, counts = [], np.zeros(len(units), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        joined = [units[i] for i in np.flatnonzero(plain).tolist()]
+        for lo in range(0, len(joined), 256):
+            some = joined[lo : lo + 256]
+            found = np.array(self._tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self._opens[found])
+            if len(at) != len(some):
+                raise ValueError("the vocabulary does not encode units on their own")
+            ids.append(found)
+            counts[order[lo : lo + len(some)]] = np.diff(np.append(at, len(found)))
+        rest = np.flatnonzero(~plain)
+        for i, e in zip(rest.tolist(), self._tokenizer.encode_batch_fast([units[i] for i in rest.tolist()], add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, self.dtype))
+            counts[i] = len(ids[-1])
+        at = np.empty(len(units), np.int64)
+        at[order] = len(self._pool) + np.cumsum(counts[order]) - counts[order]
+        self._pool = np.concatenate([self._pool, *ids])
+        known = np.concatenate([self._known, hashes])
+        by = np.argsort(known, kind="stable")
+        self._known = known[by]
+        self._at = np.concatenate([self._at, at])[by]
+        self._count = np.concatenate([self._count, counts.astype(np.int32)])[by]
+
+    def encode(self, column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of its texts' ids) of runs of texts; null is empty."""
+        for lo, data, offsets in text_chunks(column, max_bytes):
+            yield lo, *self._encode(data, offsets)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
+        first = np.zeros(len(data), bool)
+        first[:-1] = (data[:-1] == 0x20) & _SOLID_START[data[1:]]
+        starts_of_texts = offsets[:-1][np.diff(offsets) > 0]
+        # a space that ends a text is followed by another text
+        first[starts_of_texts[1:] - 1] = False
+        first[starts_of_texts] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(data))
+        h = span_hashes(prefix_sums(data), starts, ends)
+        distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self._known) > self._max:
+            self._forget()
+        place = np.minimum(np.searchsorted(self._known, distinct), max(0, len(self._known) - 1))
+        new = np.flatnonzero(self._known[place] != distinct) if len(self._known) else np.arange(len(distinct))
+        if len(new):
+            raw = data.tobytes()
+            a, b = starts[one[new]].tolist(), ends[one[new]].tolist()
+            self._learn(distinct[new], [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(a, b, strict=True)])
+            place = np.searchsorted(self._known, distinct)
+        at, count = self._at[place][which], self._count[place][which].astype(np.int64)
+        total = np.cumsum(count)
+        ids = self._pool[np.repeat(at - (total - count), count) + np.arange(int(total[-1]))]
+        before = np.append(0, total)
+        return ids, before[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(maxsize=2)
