@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_encode, q_metrics, q_tables
+from tessera.plans import q_encode, q_metrics, q_models, q_sources, q_tables
 
-_MODULES = (q_tables, q_metrics, q_encode)
+_MODULES = (q_tables, q_metrics, q_encode, q_models, q_sources)
 
 
 def queries() -> dict:
