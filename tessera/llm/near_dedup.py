@@ -9,10 +9,13 @@
 3.  Bands of the signature are bucket keys.  In each bucket every member is paired with the
     bucket's centre (another member in each bucket); in small buckets all
     members are paired.
-4.  Pairs are confirmed on the full sets, best pair of each document first; pairs
-    inside a component need no check.  Large buckets that still hold several components are
-    settled last, between members of different components whose sizes allow a link.
-5.  Components by minimum labels.
+4.  Pairs are confirmed on the full sets, in rounds: each document's best pair that would join
+    two components, some rounds over, and then all that are left.  Pairs inside a component need no check.
+5.  Large buckets that still hold several components are settled last: members of
+    different components are compared by how many of their shingles fall into each of 256
+    cells, in blocks of bounded size.  The sum of the smaller counts bounds the intersection from above, so only pairs
+    that may link are confirmed, and none that links is lost.
+6.  Components by minimum labels.
 
 Only ids, keys and counts are grouped; texts travel once, for documents that
 have candidates.
@@ -39,6 +42,11 @@ from tessera.llm.hashing import mix, shingles, text_chunks, word_hashes
 _U = np.uint64
 #: Buckets of at most so many members pair all of them; larger ones pair with a centre, then across components.
 SMALL_BUCKET = 6
+#: Rounds of best pairs before all open pairs are confirmed at once.
+BEST_ROUNDS = 3
+#: Members of a large bucket that are compared with each other at a time.
+BLOCK = 4096
+CELLS = 256
 
 
 def super_min_hash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -77,8 +85,14 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def cell_counts(shingle_set: np.ndarray) -> bytes | None:
+    """How many shingles fall into each cell; None where a count needs more than a byte."""
+    n = np.bincount((shingle_set >> _U(56)).astype(np.int64), minlength=CELLS)
+    return n.astype(np.uint8).tobytes() if len(shingle_set) and n.max() < 256 else None
+
+
 def _signed(shingle: int, bands: int, rows: int, chunk: int = 100_000):
-    """Batches of (doc_id, text) to doc_id, n_shingles, set_key, keys."""
+    """Batches of (doc_id, text) to doc_id, n_shingles, set_key, keys, cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +116,9 @@ def _signed(shingle: int, bands: int, rows: int, chunk: int = 100_000):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array([cell_counts(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "keys"],
+                    names=["doc_id", "n_shingles", "set_key", "keys", "cells"],
                 )
 
     return run
@@ -157,7 +172,7 @@ def near_duplicates(
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(
-        plain.mapInArrow(_signed(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, keys array<long>"),
+        plain.mapInArrow(_signed(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, keys array<long>, cells binary"),
         "signed",
     )
     usable = signed.where("doc_id is not null and set_key is not null")
@@ -169,8 +184,10 @@ def near_duplicates(
     )
     order = F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("c")).where("n > 1")
+    # a table and not an aggregate below the join, so that adaptive execution may split a hot bucket's members
+    buckets = materialize(buckets.select("key", "n", F.col("c.doc_id").alias("centre")), "buckets")
     shared = materialize(
-        members.join(buckets.select("key", "n", F.col("c.doc_id").alias("centre")), "key").select(
+        members.join(buckets, "key").select(
             "key", "n", "centre", "doc_id", "n_shingles"
         ),
         "shared",
@@ -186,27 +203,37 @@ def near_duplicates(
     ids = shared.select("doc_id").distinct()
     texts = materialize(plain.join(ids, "doc_id", "left_semi"), "texts", compression="zstd")
 
-    # first the pair of each document that shares most buckets
-    both = pairs.select(F.col("a").alias("doc"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("doc"), "a", "b", "n"))
-    best = both.groupBy("doc").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("x"))
-    first = best.select("x.a", "x.b").distinct()
-    links = materialize(_confirmed(first, texts, shingle, num, den), "links")
-    labels = connected_components(links)
-    # then those that would join two components
-    open_pairs = _across(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), labels)
-    more = materialize(_confirmed(open_pairs, texts, shingle, num, den), "links")
-    links = links.unionByName(more)
-    labels = connected_components(links)
+    # each document's best pair that would join two components, by the buckets it shares; then all such pairs
+    links, labels, open_pairs = None, None, pairs
+    for number in range(BEST_ROUNDS + 1):
+        if labels is not None:
+            open_pairs = materialize(_across(open_pairs, labels), "open")
+        chosen = open_pairs if number == BEST_ROUNDS else materialize(_best(open_pairs), "best")
+        found = materialize(_confirmed(chosen, texts, shingle, num, den), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
+        if number < BEST_ROUNDS:
+            open_pairs = open_pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     # then, in large buckets, members of different components
     label = labels.select(F.col("node").alias("doc_id"), "label")
     large = shared.where(F.col("n") > SMALL_BUCKET).join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     split = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    large = materialize(large.join(split, "key", "left_semi").select("key", "doc_id", "label", "n_shingles"), "large")
-    right = large.select("key", F.col("doc_id").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("size_b"))
+    large = large.join(split, "key", "left_semi").select("key", "n", "doc_id", "label", "n_shingles")
+    # blocks of a bucket meet in pairs; a bucket of up to BLOCK members is one block
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    cells = signed.where("doc_id is not null").select("doc_id", "cells").dropDuplicates(["doc_id"])
+    dealt = (
+        large.join(cells, "doc_id")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "label", "n_shingles", "cells")
+    )
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = (
-        large.join(right, "key")
-        .where((F.col("label") != F.col("label_b")) & (F.col("doc_id") < F.col("b")) & _sizes_allow("n_shingles", "size_b", num, den))
-        .select(F.col("doc_id").alias("a"), "b")
+        dealt.repartition(n_parts, "key", "lo", "hi")
+        .sortWithinPartitions("key", "lo", "hi")
+        .mapInArrow(_bounded(num, den), "a long, b long")
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
@@ -226,6 +253,56 @@ def near_duplicates(
     )
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of each document the pair with most shared buckets."""
+    both = pairs.select(F.col("a").alias("doc"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("doc"), "a", "b", "n"))
+    best = both.groupBy("doc").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("x"))
+    return best.select("x.a", "x.b").distinct()
+
+
+def _bounded(num: int, den: int):
+    """Pairs of different components in each block pair (key, lo, hi) whose cells allow a link."""
+
+    def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
+        lo, hi = group[0][1], group[0][2]
+        ids = np.array([g[4] for g in group], np.int64)
+        label = np.array([g[5] for g in group], np.int64)
+        size = np.array([g[6] for g in group], np.int64)
+        unknown = np.array([g[7] is None for g in group])
+        cells = np.frombuffer(b"".join(g[7] or bytes(CELLS) for g in group), np.uint8).reshape(-1, CELLS)
+        side = np.array([g[3] for g in group]) != lo
+        first = np.arange(len(group)) if lo == hi else np.flatnonzero(~side)
+        a, b = [], []
+        for i in first.tolist():
+            j = np.arange(i + 1, len(group)) if lo == hi else np.flatnonzero(side)
+            j = j[(label[j] != label[i]) & (den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i]))]
+            if len(j):
+                most = np.minimum(cells[j], cells[i]).sum(axis=1, dtype=np.int64)
+                most = np.where(unknown[j] | unknown[i], np.minimum(size[j], size[i]), most)
+                j = j[(num + den) * most >= num * (size[j] + size[i])]
+                a += np.minimum(ids[j], ids[i]).tolist()
+                b += np.maximum(ids[j], ids[i]).tolist()
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def settle() -> pa.RecordBatch:
+            a, b = compare(group)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group and group[0][:3] != row[:3]:
+                    yield settle()
+                    group = []
+                group.append(row)
+        if group:
+            yield settle()
+
+    return run
+
+
 def _sizes_allow(a: str, b: str, num: int, den: int):
     """Sets whose sizes differ more can't reach the similarity."""
     return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
@@ -238,7 +315,7 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         pairs.join(a, "a", "left")
         .join(b, "b", "left")
         .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-        .select("a", "b")
+        .select("a", "b", "n")
     )
 
 
