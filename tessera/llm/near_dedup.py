@@ -321,3 +321,25 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, words[i] || chr(32) || words[i + 1] AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w)
+  UNION ALL
+  SELECT doc_id, words[1] FROM w WHERE len(words) = 1
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+  WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
+), e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.doc_id
+), c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""

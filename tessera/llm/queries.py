@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bwt_dedup import op9_bwt_dedup
 from tessera.llm.decontaminate import op10_decontaminate
-from tessera.llm.near_dedup import op1_near_dedup
+from tessera.llm.near_dedup import OP1_SQL, op1_near_dedup
 from tessera.llm.ngram_lm import op8_lm_score
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import op7_pii
 from tessera.llm.quality_rules import op4_quality_rules
-from tessera.llm.substring_dedup import op5_substring_dedup
+from tessera.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from tessera.llm.token_archive import op3_token_archive
 from tessera.llm.warc_store import OP2_SQL, op2_warc
 
@@ -37,5 +37,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_dedup": OP1_SQL,
         "op2_warc": OP2_SQL,
+        "op5_substring_dedup": OP5_SQL,
     }

@@ -95,3 +95,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 34), ' ')) AS k
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)
+), again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM windows WHERE k IN (SELECT k FROM again)
+), marked AS (
+  SELECT p.doc_id, p.j, p.word, g.j IS NOT NULL AS is_gone
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w) p
+  LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.j = p.j
+), kept AS (
+  SELECT doc_id, CAST(count(*) FILTER (is_gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT is_gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""

@@ -51,5 +51,5 @@ def test_stages(spark):
 def test_run_and_registration(spark):
     import __spark_entry__
 
-    assert __spark_entry__.queries()["pipeline"] is pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is pipeline.run
     assert pipeline.run(spark, DIR).count() > 0
