@@ -86,18 +86,40 @@ def bwt_engine(window: int, step: int = SYMBOL, n_shards: int = SHARDS):
         joined = np.concatenate(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         starts = np.cumsum(lengths) - lengths
-        left = np.repeat(starts + lengths, lengths) - np.arange(len(joined))
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        left = (starts + lengths)[owner] - np.arange(len(joined))
         sums = prefix_sums(joined)
         _, down = powers(len(sums))
         symbols = np.zeros(len(joined), np.int64)
         fits = np.flatnonzero(left >= step)
         symbols[fits] = np.unique((sums[fits + step] - sums[fits]) * down[fits], return_inverse=True)[1] + 1
+        again = np.zeros(len(joined), bool)
+        # a window with a symbol that stands nowhere else is alone: only the stretches of the others are sorted
+        shared = np.bincount(symbols)[symbols] > 1
+        at = np.flatnonzero(left >= window)
+        for d in range(depth):
+            at = at[shared[at + d * step]]
+        if len(at):
+            text, first = np.unique(owner[at], return_index=True)
+            last = np.append(first[1:], len(at)) - 1
+            size = at[last] - at[first] + window
+            within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            where = np.repeat(at[first], size) + within
+            found = _merged(symbols[where], size, text % n_shards)
+            again[where[found]] = True
+        return [again[a : a + n - window + 1] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+    def _merged(symbols: np.ndarray, lengths: np.ndarray, shard_of: np.ndarray) -> np.ndarray:
+        """Positions of the joined stretches where a window starts that starts elsewhere too."""
+        starts = np.cumsum(lengths) - lengths
+        left = np.repeat(starts + lengths, lengths) - np.arange(len(symbols))
+        symbols = np.where(left >= step, symbols, 0)
+        fits = np.flatnonzero(left >= step)
         # strings of a text: the suffixes at its first `step` places; each ends at the last place of its residue that fits
         offset = np.arange(step)
         first = (starts[:, None] + offset).reshape(-1)
         count = (np.repeat(lengths, step) - np.tile(offset, len(lengths)) - step) // step  # symbols after the first
         last = first + count * step
-        shard_of = np.arange(len(texts)) % n_shards
         string_shard, place_shard = np.repeat(shard_of, step), np.repeat(shard_of, lengths)
         shards = [
             Shard(symbols, left // step, fits[place_shard[fits] == s], step, depth, last[string_shard == s], first[string_shard == s])
@@ -111,10 +133,8 @@ def bwt_engine(window: int, step: int = SYMBOL, n_shards: int = SHARDS):
             position[own == s] = shard.positions
         whole = position >= 0
         whole[whole] = left[position[whole]] >= window
-        size = np.bincount(block[whole], minlength=int(block[-1]) + 1 if len(block) else 1)
-        again = np.zeros(len(joined), bool)
-        again[position[whole & (size[block] > 1)]] = True
-        return [again[a : a + n - window + 1] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        size = np.bincount(block[whole], minlength=int(block[-1]) + 1)
+        return position[whole & (size[block] > 1)]
 
     return engine
 
