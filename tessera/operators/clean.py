@@ -99,11 +99,11 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> Data
     for p in sorted(sizes):  # one row per partition
         rows.append((p, before))
         before += sizes[p]
-    shift = spark.createDataFrame(rows or [(0, 0)], "p long, before long")
+    shift = spark.createDataFrame(rows or [(0, 0)], "_part long, _before long")
     return (
-        placed.join(F.broadcast(shift), part == F.col("p"))
-        .withColumn(name, F.col("before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_m", "p", "before")
+        placed.join(F.broadcast(shift), part == F.col("_part"))
+        .withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_m", "_part", "_before")
     )
 
 

@@ -133,10 +133,10 @@ def m_estimate(df: DataFrame, col: str, y: str, m: float = 1.0) -> tuple[DataFra
 
 
 def leave_one_out(df: DataFrame, col: str, y: str, prior: float, out: str = "loo") -> DataFrame:
-    """Mean of y over the category's other rows; ``prior`` for a category of one row."""
-    w = Window.partitionBy(col)
-    n, s = F.count("*").over(w), F.sum(F.col(y).cast("double")).over(w)
-    return df.withColumn(out, F.when(n > 1, (s - F.col(y)) / (n - 1)).otherwise(F.lit(prior)))
+    """Mean of y over the category's other rows; ``prior`` for a category of one row. Sums are combined before the shuffle."""
+    sums = df.groupBy(F.col(col).alias("_cat")).agg(F.count("*").alias("_n"), F.sum(F.col(y).cast("double")).alias("_s"))
+    value = F.when(F.col("_n") > 1, (F.col("_s") - F.col(y)) / (F.col("_n") - 1)).otherwise(F.lit(prior))
+    return df.join(sums, F.col(col).eqNullSafe(F.col("_cat"))).withColumn(out, value).drop("_cat", "_n", "_s")
 
 
 def ordered_statistic(df: DataFrame, col: str, y: str, order_by: str, prior: float, a: float = 1.0, out: str = "ots") -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.clean import row_index
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
@@ -232,13 +234,12 @@ def permutation_importance(df: DataFrame, score: callable, columns: Sequence[str
     score: from columns of the frame to the score column. Rows and shuffled values are paired by
     position; all columns and repeats share one pass of scoring.
     """
-    w0 = Window.orderBy("id")
-    base = df.withColumn("_pos", F.row_number().over(w0))
+    base = row_index(df, ["id"], "_pos")
     parts = [df.select(F.lit("").alias("feature"), F.lit(-1).alias("round"), "id", "y", score({c: F.col(c) for c in columns}).alias("p"))]
     for c in columns:
         for r in range(repeats):
-            order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|{c}|{r}|"), F.col("id").cast("string"))), "id")
-            dealt = df.select(F.row_number().over(order).alias("_pos"), F.col(c).alias("_new"))
+            order = F.md5(F.concat(F.lit(f"{seed}|{c}|{r}|"), F.col("id").cast("string")))
+            dealt = row_index(df.select("id", order.alias("_h"), F.col(c).alias("_new")), ["_h", "id"], "_pos").select("_pos", "_new")
             cols = {k: (F.col("_new") if k == c else F.col(k)) for k in columns}
             parts.append(base.join(dealt, "_pos").select(F.lit(c).alias("feature"), F.lit(r).alias("round"), "id", "y", score(cols).alias("p")))
     rows = parts[0]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.clean import row_index
 
 def hash_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
@@ -73,9 +74,14 @@ def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``fold`` 0..k-1, classes dealt evenly in hash order."""
-    w = Window.partitionBy(label).orderBy(hash_order(seed, key), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("long"))
+    """``fold`` 0..k-1, classes dealt evenly in hash order.
+
+    Rows are numbered over a range partitioning by class and hash, so a large class is dealt by many tasks.
+    """
+    placed = row_index(df.withColumn("_h", hash_order(seed, key)), [label, "_h", key], "_i")
+    first = placed.groupBy(F.col(label).alias("_l")).agg(F.min("_i").alias("_f"))
+    out = placed.join(first, F.col(label).eqNullSafe(F.col("_l")))
+    return out.withColumn("fold", ((F.col("_i") - F.col("_f")) % k).cast("long")).drop("_h", "_i", "_l", "_f")
 
 
 def by_membership(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
