@@ -246,6 +246,8 @@ def repeated_spans(texts: DataFrame, units: Units, engine: Engine) -> DataFrame:
         .where("total > 1")
         .select(F.col("key"), (F.col("lo") == F.col("hi")).alias("same"))
     )
+    # a table and not an aggregate below the join, so that adaptive execution may split a hot key's pieces
+    keys = materialize(keys, "keys")
     shared = materialize(pieces.join(keys, "key"), "shared")
     end = (F.col("first") + F.col("r") - 1 + units.window).cast("int")
     spans = shared.where("same").select("rid", F.col("first").alias("s"), end.alias("e"))
