@@ -45,7 +45,7 @@ c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED
 SELECT sum(pos * (below + neg / 2.0{_D})) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS auc, (SELECT count(*) FROM v) AS n FROM c""")
 def flagship_woe_auc(s, d):
     """Split, weight of evidence fitted on the training rows, AUC of it as a score on the others."""
-    rows = _split_orders(s, d)
+    rows = _split_orders(s, d).select("o_orderpriority", "y", "is_val").persist()  # the fit and the score read it
     fitted = encode.weight_of_evidence(rows.where("not is_val"), "o_orderpriority", "y")
     fitted = fitted.withColumn("woe", F.round("woe", 12))
     val = encode.apply(rows.where("is_val"), fitted, "o_orderpriority", {"woe": 0.0}).select("y", F.col("woe").alias("p"))
