@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def _numbered(pieces: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, whole = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            full = pa.compute.list_value_length(batch.column("full")).to_numpy(zero_copy_only=False)
+            full = pc.list_value_length(batch.column("full")).to_numpy(zero_copy_only=False)
             before = whole + np.cumsum(full) - full
             yield pa.RecordBatch.from_arrays(
                 [
@@ -134,8 +135,6 @@ def _numbered(pieces: DataFrame, n: int) -> DataFrame:
             )
             row, whole = row + batch.num_rows, whole + int(full.sum())
 
-    import pyarrow.compute  # noqa: F401  (pa.compute)
-
     return (
         pieces.repartitionByRange(n, "rest_len", "doc_id")
         .sortWithinPartitions("rest_len", "doc_id")
