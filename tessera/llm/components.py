@@ -30,10 +30,9 @@ def connected_components(links: DataFrame) -> DataFrame:
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         step = materialize(step, "step")
+        if not step.where("label <> old").head(1):
+            return labels
         far = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = materialize(
-            step.join(far, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", "far").alias("label")), "labels"
+        labels = materialize(
+            step.join(far, F.col("label") == F.col("via"), "left").select("node", F.least("label", "far").alias("label")), "labels"
         )
-        labels = new.select("node", "label")
-        if new.where("label <> old").limit(1).count() == 0:
-            return labels

@@ -208,10 +208,13 @@ def near_duplicates(
     for number in range(BEST_ROUNDS + 1):
         if labels is not None:
             open_pairs = materialize(_across(open_pairs, labels), "open")
+            if not open_pairs.head(1):
+                break
         chosen = open_pairs if number == BEST_ROUNDS else materialize(_best(open_pairs), "best")
         found = materialize(_confirmed(chosen, texts, shingle, num, den), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
+        if labels is None or found.head(1):  # without new links the components stay
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links)
         if number < BEST_ROUNDS:
             open_pairs = open_pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     # then, in large buckets, members of different components
@@ -238,7 +241,7 @@ def near_duplicates(
         .join(pairs, ["a", "b"], "left_anti")
     )
     last = materialize(_confirmed(rest, texts, shingle, num, den), "links")
-    if last.limit(1).count():
+    if last.head(1):
         labels = connected_components(links.unionByName(last))
     final = labels.select(F.col("node").alias("rep"), "label")
     return (
