@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.hashing import powers, prefix_sums
-from tessera.llm.repeats import Units, bucketed, covered, repeated_spans, runs_of
+from tessera.llm.repeats import Units, bucketed, covered, repeated_spans, runs_of, slices
 
 WINDOW = 400
 SYMBOL = 100
@@ -146,7 +146,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(texts, units, bwt_engine(window, step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, gone, runs, kept = [], [], [], []
             for value, found in zip(batch.column(1), batch.column(2), strict=True):
                 data = value.as_buffer().to_pybytes()

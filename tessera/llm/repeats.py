@@ -6,13 +6,15 @@ places, so windows can only repeat inside the group of their minimizer.  Consecu
 windows with the same minimizer are one piece of text.
 
 1.  Texts go to a table that is bucketed by row, so that later joins with it shuffle no text.
-2.  Pieces are rows of (minimizer, hash of the piece, row, first window, windows).  Per minimizer
+2.  Pieces are rows of (minimizer, hash of the piece, row, first window, windows); equal neighbours, as in periodic
+    text, are one row.  Per minimizer
     one aggregate tells whether it has one piece (nothing repeats), equal pieces
     only (everything repeats), or different pieces.
 3.  Only in the last case content has to be compared: of equal pieces one goes on, its text is cut from the
     bucketed table and dealt out by minimizer.  A minimizer with very many different
     pieces is extended: by the units after it for windows that reach far enough
-    to the right, else by those before it.  Equal windows agree on both.
+    to the right, else by those before it.  Equal windows agree on both.  Beyond ``WIDE`` pieces, whose group no task
+    should hold, windows are counted by their hashes, combined before the shuffle.
 4.  An engine (suffix tree, or merged Burrows-Wheeler transforms) finds the repeated windows of its groups.
 
 Hashes of 64 bits tell grams and pieces apart.
@@ -34,6 +36,8 @@ from tessera.llm.hashing import _BYTE, mix, powers, text_chunks, word_spans, pre
 
 #: Of a minimizer with more different pieces than this, the key is extended.
 HEAVY = 4096
+#: Of a minimizer with more than this, windows are counted instead of gathered.
+WIDE = 8192
 #: Units that an engine looks at together, in whole groups.
 BATCH_UNITS = 1 << 20
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -79,11 +83,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def pieces_of(units: Units, values: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text, first window (in the text), windows, minimizer's key, its offset from the first window, hash of the piece."""
+    """text, first window (in the text), windows, minimizer's key, its offset from the first window, hash of the piece, times.
+
+    Equal pieces that follow each other, as in periodic text, are one row with ``times`` above 1.
+    """
     none = np.zeros(0, np.int64)
     n, W, k = len(values), units.window, units.gram
     if n < W:
-        return none, none, none, none, none, none
+        return (none,) * 7
     sums = value_sums(values)
     at = np.arange(n - k + 1)
     grams = span_hashes(sums, at, at + k)
@@ -100,7 +107,12 @@ def pieces_of(units: Units, values: np.ndarray, before: np.ndarray) -> tuple[np.
     r = np.diff(np.append(first, len(p)))
     start, own = p[first], text[first]
     whole = span_hashes(sums, start, start + r - 1 + W)
-    return own, start - before[:-1][own], r, grams[a[first]].view(np.int64), a[first] - start, whole.view(np.int64)
+    key = grams[a[first]]
+    new = np.ones(len(start), bool)
+    new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+    k = np.flatnonzero(new)
+    times = np.diff(np.append(k, len(start)))
+    return own[k], (start - before[:-1][own])[k], r[k], key[k].view(np.int64), (a[first] - start)[k], whole[k].view(np.int64), times
 
 
 def _pieces(units: Units):
@@ -109,7 +121,7 @@ def _pieces(units: Units):
             rids = batch.column(0).to_numpy()
             for lo, data, offsets in text_chunks(batch.column(1)):
                 _, values, before = units.read(data, offsets)
-                own, first, r, key, off, whole = pieces_of(units, values, before)
+                own, first, r, key, off, whole, times = pieces_of(units, values, before)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key, pa.int64()),
@@ -118,8 +130,9 @@ def _pieces(units: Units):
                         pa.array(first.astype(np.int32)),
                         pa.array(r.astype(np.int32)),
                         pa.array(off.astype(np.int32)),
+                        pa.array(times.astype(np.int32)),
                     ],
-                    names=["key", "piece", "rid", "first", "r", "off"],
+                    names=["key", "piece", "rid", "first", "r", "off", "times"],
                 )
 
     return run
@@ -131,14 +144,14 @@ def _cut(units: Units):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(2).to_pylist()
+            asked = batch.column(2)
             for lo, data, offsets in text_chunks(batch.column(1)):
                 content, values, before = units.read(data, offsets)
                 sums = value_sums(values)
                 rows = []
                 for i in range(len(offsets) - 1):
                     base = int(before[i])
-                    for a in asked[lo + i]:
+                    for a in asked[lo + i].as_py():
                         parts = [(a["key"], a["first"], a["r"])]
                         if a["heavy"]:
                             anchor = base + a["first"] + a["off"]
@@ -165,6 +178,34 @@ def _cut(units: Units):
     return run
 
 
+def _windows(units: Units):
+    """(rid, text, asked) to (window's hash, n, rid, s) for every window of the pieces asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(2)
+            for lo, data, offsets in text_chunks(batch.column(1)):
+                _, values, before = units.read(data, offsets)
+                sums = value_sums(values)
+                own = [(int(before[i]), a) for i in range(len(offsets) - 1) for a in asked[lo + i].as_py()]
+                if not own:
+                    continue
+                r = np.array([a["r"] for _, a in own])
+                first = np.repeat([a["first"] for _, a in own], r) + np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
+                at = np.repeat([b for b, _ in own], r) + first
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(span_hashes(sums, at, at + units.window).view(np.int64)),
+                        pa.array(np.repeat([a["n"] for _, a in own], r).astype(np.int64)),
+                        pa.array(np.repeat([a["rid"] for _, a in own], r).astype(np.int64)),
+                        pa.array(first.astype(np.int32)),
+                    ],
+                    names=["w", "n", "rid", "s"],
+                )
+
+    return run
+
+
 #: An engine takes the contents of pieces (arrays of units) and returns, for each, which of its windows occur elsewhere among them.
 Engine = Callable[[list[np.ndarray]], list[np.ndarray]]
 
@@ -237,49 +278,58 @@ def repeated_spans(texts: DataFrame, units: Units, engine: Engine) -> DataFrame:
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = materialize(
-        texts.select("rid", "text").mapInArrow(_pieces(units), "key long, piece long, rid long, first int, r int, off int"),
+        texts.select("rid", "text").mapInArrow(_pieces(units), "key long, piece long, rid long, first int, r int, off int, times int"),
         "pieces",
     )
     keys = (
         pieces.groupBy("key")
-        .agg(F.count("*").alias("total"), F.min("piece").alias("lo"), F.max("piece").alias("hi"))
+        .agg(F.sum("times").alias("total"), F.min("piece").alias("lo"), F.max("piece").alias("hi"))
         .where("total > 1")
         .select(F.col("key"), (F.col("lo") == F.col("hi")).alias("same"))
     )
     # a table and not an aggregate below the join, so that adaptive execution may split a hot key's pieces
     keys = materialize(keys, "keys")
     shared = materialize(pieces.join(keys, "key"), "shared")
-    end = (F.col("first") + F.col("r") - 1 + units.window).cast("int")
+    end = (F.col("first") + F.col("r") * F.col("times") - 1 + units.window).cast("int")
     spans = shared.where("same").select("rid", F.col("first").alias("s"), end.alias("e"))
     differing = shared.where(~F.col("same"))
     distinct = materialize(
-        differing.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "r", "off")).alias("x")), "distinct"
+        differing.groupBy("key", "piece").agg(F.sum("times").alias("n"), F.min(F.struct("rid", "first", "r", "off")).alias("x")), "distinct"
     )
     copies = differing.join(distinct.where("n > 1").select("key", "piece"), ["key", "piece"], "left_semi")
     spans = spans.unionByName(copies.select("rid", F.col("first").alias("s"), end.alias("e")))
-    heavy = distinct.groupBy("key").count().where(F.col("count") > HEAVY).select("key", F.lit(True).alias("heavy"))
-    asked = (
-        distinct.join(heavy, "key", "left")
-        .select(
-            F.col("x.rid").alias("rid"),
-            F.struct(
-                "x.first", "x.r", "x.off", "key", "n", F.col("x.rid").alias("rid"), F.coalesce("heavy", F.lit(False)).alias("heavy")
-            ).alias("a"),
-        )
-        .groupBy("rid")
-        .agg(F.collect_list("a").alias("asked"))
-    )
+    sizes = distinct.groupBy("key").count().where(F.col("count") > min(HEAVY, WIDE))
+    sizes = materialize(sizes.select("key", (F.col("count") > HEAVY).alias("heavy"), (F.col("count") > WIDE).alias("wide")), "sizes")
+    one = F.struct("x.first", "x.r", "x.off", "key", "n", F.col("x.rid").alias("rid"), F.coalesce("heavy", F.lit(False)).alias("heavy"))
+
+    def of_texts(rows: DataFrame) -> DataFrame:
+        """The texts that pieces are asked of, with the pieces."""
+        asked = rows.select(F.col("x.rid").alias("rid"), one.alias("a")).groupBy("rid").agg(F.collect_list("a").alias("asked"))
+        return texts.join(asked, "rid").select("rid", "text", "asked")
+
+    sized = distinct.join(sizes, "key", "left")
     cut = (
-        texts.join(asked, "rid")
-        .select("rid", "text", "asked")
+        of_texts(sized.where(~F.coalesce("wide", F.lit(False))))
         .mapInArrow(_cut(units), "key long, n long, rid long, first int, r int, content binary")
         .repartition(n, "key")
         .sortWithinPartitions("key")
     )
     found = cut.mapInArrow(_compare(units, engine), "rid long, s int, e int")
+    if sizes.where("wide").head(1):
+        rows = materialize(of_texts(sized.where("wide")).mapInArrow(_windows(units), "w long, n long, rid long, s int"), "windows")
+        again = materialize(rows.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w"), "again")
+        wide = rows.where("n = 1").join(again, "w", "left_semi")
+        found = found.unionByName(wide.select("rid", "s", (F.col("s") + units.window).cast("int").alias("e")))
     return spans.unionByName(found).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:
     """Which of ``n`` units lie in any span."""
     step = np.zeros(n + 1, np.int32)

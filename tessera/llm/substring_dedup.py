@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
-from tessera.llm.repeats import Units, bucketed, covered, repeated_spans
+from tessera.llm.repeats import Units, bucketed, covered, repeated_spans, slices
 
 WINDOW = 35
 
@@ -63,7 +63,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(texts, units, suffix_tree_engine(window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, gone, kept = [], [], []
             for value, found in zip(batch.column(1), batch.column(2), strict=True):
                 words = value.as_buffer().to_pybytes().split()

@@ -385,16 +385,21 @@ def repeated_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("heavy", [4096, 1])
-def test_substring_dedup(docs, rows, heavy, monkeypatch):
+LIMITS = pytest.mark.parametrize(("heavy", "wide"), [(4096, 8192), (1, 8192), (1, 1)])
+
+
+@LIMITS
+def test_substring_dedup(docs, rows, heavy, wide, monkeypatch):
     monkeypatch.setattr(repeats, "HEAVY", heavy)
+    monkeypatch.setattr(repeats, "WIDE", wide)
     got = substring_dedup.remove_repeats(docs).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == repeated_words(rows, 35)
 
 
-@pytest.mark.parametrize("heavy", [4096, 1])
-def test_bwt_dedup(spark, docs, rows, heavy, monkeypatch):
+@LIMITS
+def test_bwt_dedup(spark, docs, rows, heavy, wide, monkeypatch):
     monkeypatch.setattr(repeats, "HEAVY", heavy)
+    monkeypatch.setattr(repeats, "WIDE", wide)
     window, texts, count = 400, {i: (t or "").encode() for i, t in rows}, collections.Counter()
     for t in texts.values():
         count.update(t[i : i + window] for i in range(len(t) - window + 1))
