@@ -1,25 +1,25 @@
 """N-gram language model as a weighted backoff automaton.
 
 Training.  Documents become blocks of a few million tokens: a dictionary of the
-block's distinct words and the tokens as places in it.  Dictionaries give the
-exact count of every word.  Words with at least ``theta_word`` of all training tokens form
-the lexicon, which therefore has at most ``1 / theta_word`` words however large the
-corpus; n-grams over the lexicon with at least ``theta_gram`` of all tokens (and two
-occurrences) become arcs, at most ``1 / theta_gram`` per order.  These bounds are
-what lets the automaton go to every task.
+block's distinct words and the tokens as places in it.  Every n-gram that occurs ``min_count``
+times or more in the training texts belongs to the model, at every size of corpus: so do then the
+n-grams within it.
 
 The automaton.  A state is a context; an arc (state, word) carries the discounted
 log-probability and leads to the longest context that the text then ends in; the
 failure arc of a state carries its backoff weight and leads to the state without its
-first word.  At the root every word has its smoothed unigram probability.  One
-traversal from left to right, many documents in step, carries a state per document.
+first word.  At the root every word has its smoothed unigram probability.  The state before
+a token is the longest kept n-gram that ends there, so all tokens of a block take their arcs at once.
 
-Scoring needs the counts of all words, which no task can hold: each block asks for the
-counts of its dictionary in one join, and is scored where the answers arrive.
+No task holds the model.  Each block deals the sorted hashes of its own distinct n-grams out to buckets by
+their first bits.  A bucket adds up the blocks' counts and answers each block in the order of its
+hashes; the first block that has an n-gram owns it.  Owners add the n-gram's
+probability, and that of the same word after the shorter context, to the sums of its context, which are dealt out
+and answered with the context's backoff weight in the same way.  Buckets grow in number with the corpus, not in size.
 
 Cases: null and empty texts are the end token alone; a null id counts as training;
 rows with equal ids are scored one by one; an empty table gives an empty result; without training
-tokens every token is unknown; further columns are ignored.  Words are told apart by 64-bit hashes.
+tokens every token is unknown; further columns are ignored.  Words and n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,16 +28,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
-from tessera.llm.hashing import text_chunks, word_hashes
+from tessera.llm.hashing import mix, text_chunks, word_hashes
 
 END = np.uint64(1)
 BLOCK_TOKENS = 3 << 20
+BUCKET_TOKENS = 4 << 20
 DISCOUNT = 0.5
 _BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, words array<long>, tokens binary"
+_DEALT = "bucket int, block long, size int, keys binary, first binary, second binary"
+_ANSWER = "of long, kind int, bucket int, size int, answer binary, types long, tokens long"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit values as zstd over their byte planes: high planes of small numbers vanish."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, size: int, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).reshape(-1).view(kind)
+
+
+def _dealt(block: int, keys: np.ndarray, bits: int, first: np.ndarray, second: np.ndarray | None = None) -> pa.RecordBatch:
+    """Sorted keys with one or two values each, a row per bucket."""
+    cuts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+    rows = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[b], cuts[b + 1])
+        rows.append(
+            (b, block, len(keys[part]), _packed(np.diff(keys[part], prepend=np.uint64(0))), _packed(first[part]), second is not None and _packed(second[part]) or b"")
+        )
+    fields = [f.split() for f in _DEALT.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[f for f, _ in fields])
+
+
+def _bucket(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's rows by block; their sizes; an order of all their keys by key, then block; the place of each in it; where keys begin."""
+    rows = rows.sort_by("block")
+    size = rows.column("size").to_numpy()
+    key = np.concatenate([np.cumsum(_unpacked(k, n, np.uint64)) for k, n in zip(rows.column("keys").to_pylist(), size.tolist(), strict=True)])
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, np.diff(key[order]) > 0)
+    return rows, size, order, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _values(rows: pa.Table, size: np.ndarray, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([_unpacked(v, n, kind) for v, n in zip(rows.column(name).to_pylist(), size.tolist(), strict=True)])
+
+
+def _answers(rows: pa.Table, size: np.ndarray, kind: int, value: np.ndarray, types: int, tokens: int) -> pa.Table:
+    ends, n = np.cumsum(size), len(size)
+    return pa.table(
+        {
+            "of": rows.column("block"),
+            "kind": pa.array(np.full(n, kind, np.int32)),
+            "bucket": rows.column("bucket"),
+            "size": rows.column("size"),
+            "answer": pa.array([_packed(value[e - s : e]) for s, e in zip(size.tolist(), ends.tolist(), strict=True)], pa.binary()),
+            "types": pa.array([types] + [0] * (n - 1), pa.int64()),
+            "tokens": pa.array([tokens] + [0] * (n - 1), pa.int64()),
+        }
+    )
+
+
+def _answered(rows: pa.Table, kind: int, dtype: type) -> np.ndarray:
+    """The answers of one kind to a block, in the order of the keys that it dealt out."""
+    rows = rows.filter(pa.compute.equal(rows.column("kind"), kind)).sort_by("bucket")
+    if not rows.num_rows:
+        return np.zeros(0, dtype)
+    return _values(rows, rows.column("size").to_numpy(), "answer", dtype)
 
 
 def _blocks(block_tokens: int):
@@ -48,8 +114,11 @@ def _blocks(block_tokens: int):
         number, ids, out, lengths, hashes, held = TaskContext.get().partitionId() << 32, [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-            values = [[number], [ids], [out], [lengths], [words.view(np.int64)], [tokens.astype("<u4").tobytes()]]
+            words, tokens, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            often = np.argsort(-n, kind="stable")  # frequent words have small places, which pack well
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            values = [[number], [ids], [out], [lengths], [words[often].view(np.int64)], [_packed(rank[tokens])]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")]
@@ -84,168 +153,99 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 "held_out": row["held_out"].values.to_numpy(zero_copy_only=False).astype(bool),
                 "lengths": row["lengths"].values.to_numpy(),
                 "words": row["words"].values.to_numpy().view(np.uint64),
-                "tokens": np.frombuffer(row["tokens"].as_buffer(), "<u4"),
+                "tokens": _unpacked(row["tokens"].as_buffer(), int(row["lengths"].values.to_numpy().sum())),
             }
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _rows(batches):
-        train = np.repeat(~b["held_out"], b["lengths"])
-        n = np.bincount(b["tokens"][train], minlength=len(b["words"]))
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(b["words"][used].view(np.int64)), pa.array(n[used])], names=["word", "n"])
-
-
-class Automaton:
-    """States, arcs and failure arcs; words are 1 .. len(lexicon), 0 is any other word."""
-
-    def __init__(self, lexicon: np.ndarray):
-        self.lexicon = lexicon  # sorted hashes
-        self.width = len(lexicon) + 1
-        self.grams: list[np.ndarray] = []  # per order from 2: sorted keys, prefix gram * width + word
-        self.counts: list[np.ndarray] = []
-
-    def word_ids(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.lexicon):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.lexicon, words), len(self.lexicon) - 1)
-        return np.where(self.lexicon[at] == words, at + 1, 0)
-
-    def ending_at(self, ids: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-        """For each token the number (from 1) of the kept gram of ``order`` words that ends there, or 0."""
-        gram = ids
-        for n in range(2, order + 1):
-            gram = self._find(n, self._extended(gram, ids, first, n))
-        return gram
-
-    def _extended(self, gram: np.ndarray, ids: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-        """Keys of the n-grams that extend the kept gram one token earlier, or -1. first: tokens since the document began."""
-        key = np.full(len(ids), -1, np.int64)
-        ok = (gram[:-1] > 0) & (ids[1:] > 0) & (first[1:] >= n - 1)
-        key[1:][ok] = gram[:-1][ok] * self.width + ids[1:][ok]
-        return key
-
-    def _find(self, n: int, key: np.ndarray) -> np.ndarray:
-        keys = self.grams[n - 2]
-        if not len(keys):
-            return np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[at] == key, at + 1, 0)
-
-    def candidates(self, block: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the n-grams of a block's training documents whose prefix and suffix are kept."""
-        ids, first, train = self.word_ids(block["words"])[block["tokens"]], _since_start(block["lengths"]), np.repeat(~block["held_out"], block["lengths"])
-        gram = self.ending_at(ids, first, n - 1)
-        key = self._extended(gram, ids, first, n)
-        if n > 2:
-            key[gram == 0] = -1  # the suffix must be kept too
-        key = key[train & (key >= 0)]
-        return np.unique(key, return_counts=True)
-
-    def finish(self, word_counts: np.ndarray, n_tokens: int, n_words: int, end: int) -> None:
-        """Weights and targets of all arcs. word_counts: of the lexicon; end: the end token's word id."""
-        total = n_tokens + 0.1 * (n_words + 1)
-        uni = np.concatenate([[0.0], (word_counts + 0.1) / total])
-        sizes = [1, len(self.lexicon), *[len(k) for k in self.grams[:-1]]]
-        base = np.cumsum([0, *sizes])  # first state of the contexts of each length; grams count from 1
-        self.n_states = int(base[-1])
-        self.fail, self.backoff = np.zeros(self.n_states, np.int64), np.zeros(self.n_states)
-        keys, weights, targets = [], [], []
-        counts = [None, np.concatenate([[0], word_counts])]
-        lower_p = uni
-        last_word = np.arange(self.width)  # of each gram of the order below, from 1
-        suffix = np.zeros(self.width, np.int64)  # gram one shorter, without the first word, from 1
-        for order, (gram, n) in enumerate(zip(self.grams, self.counts, strict=True), 2):
-            prefix, word = gram // self.width, gram % self.width
-            context_count = counts[order - 1]
-            p = (n - DISCOUNT) / context_count[prefix]
-            # the same word after the shorter context: its gram without the first word is kept, by construction
-            if order == 2:
-                short = word
-            else:
-                short = self._find(order - 1, suffix[prefix] * self.width + word)
-            size = len(context_count)
-            mass = np.bincount(prefix, weights=p, minlength=size)
-            below = np.bincount(prefix, weights=lower_p[short], minlength=size)
-            alpha = (1 - mass) / np.maximum(1 - below, 1e-12)
-            first = base[order - 1] - 1
-            state = first + np.arange(1, size)
-            self.backoff[state] = np.log10(np.maximum(alpha[1:], 1e-300))
-            self.fail[state] = 0 if order == 2 else base[order - 2] - 1 + suffix[1:size]
-            keys.append((first + prefix) * self.width + word)
-            weights.append(np.log10(p))
-            own = np.arange(1, len(gram) + 1)
-            is_context = order - 1 < len(sizes) - 1 and order < len(self.grams) + 1
-            targets.append(base[order] - 1 + own if is_context else base[order - 1] - 1 + short)
-            counts.append(np.concatenate([[0], n]))
-            lower_p = np.concatenate([[0.0], p])
-            suffix, last_word = np.concatenate([[0], short]), np.concatenate([[0], word])
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        order = np.argsort(key, kind="stable")
-        self.arc_keys = key[order]
-        self.arc_weights = (np.concatenate(weights) if weights else np.zeros(0))[order]
-        self.arc_targets = (np.concatenate(targets) if targets else np.zeros(0, np.int64))[order]
-        self.end, self.root_log, self.unknown = end, np.log10(uni, where=uni > 0, out=np.zeros(len(uni))), np.log10(0.1 / total)
-        self.floor = total
-
-    def traverse(self, ids: np.ndarray, unigram_log: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log10 probability of each document: its tokens' word ids, and their log-probabilities at the root."""
-        order = np.argsort(-lengths, kind="stable")
-        start = (np.cumsum(lengths) - lengths)[order]
-        left = lengths[order]
-        state, total = np.zeros(len(lengths), np.int64), np.zeros(len(lengths))
-        n_arcs, live = len(self.arc_keys), len(lengths)
-        for t in range(int(left[0]) if len(left) else 0):
-            while live and left[live - 1] <= t:
-                live -= 1
-            at = start[:live] + t
-            word, s = ids[at], state[:live]
-            gain, todo = np.zeros(live), np.flatnonzero((s > 0) & (word > 0))
-            target = np.where(word > 0, word, 0)
-            rooted = np.ones(live, bool)
-            # failure arcs carry their weight also where the word has no arc anywhere
-            gone = np.flatnonzero((s > 0) & (word == 0))
-            for lanes, look in ((gone, False), (todo, True)):
-                here = s[lanes]
-                while len(lanes):
-                    if look and n_arcs:
-                        key = here * self.width + word[lanes]
-                        a = np.minimum(np.searchsorted(self.arc_keys, key), n_arcs - 1)
-                        hit = self.arc_keys[a] == key
-                        got = lanes[hit]
-                        gain[got] += self.arc_weights[a[hit]]
-                        target[got] = self.arc_targets[a[hit]]
-                        rooted[got] = False
-                        lanes, here = lanes[~hit], here[~hit]
-                    gain[lanes] += self.backoff[here]
-                    here = self.fail[here]
-                    on = here > 0
-                    lanes, here = lanes[on], here[on]
-            gain[rooted] += unigram_log[at[rooted]]
-            total[:live] += gain
-            state[:live] = target
-        out = np.empty(len(lengths))
-        out[order] = total
-        return out
-
-
 def _since_start(lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+def _grams(block: dict, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the sorted hashes of a block's n-grams, the tokens that end one, and its place for each of these."""
+    words = block["words"][block["tokens"]]
+    since, key = _since_start(block["lengths"]), words
+    for n in range(1, order + 1):
+        if n > 1:
+            key = np.append(np.uint64(0), mix(mix(key[:-1]) * np.uint64(0x9FB21C651E98DF25) + words[1:]))
+        at = np.flatnonzero(since >= n - 1)
+        keys, place = np.unique(key[at], return_inverse=True)
+        yield keys, at, place.astype(np.int32)
+
+
+class Block:
+    """A block's n-grams of each order and what the buckets answered."""
+
+    def __init__(self, block: dict, order: int, answers: pa.Table, n_tokens: int, n_words: int):
+        self.total = n_tokens + 0.1 * (n_words + 1)
+        self.size = len(block["tokens"])
+        self.keys, self.place, self.at, self.n, self.own = [None], [None], [None], [None], [None]
+        for n, (keys, at, place) in enumerate(_grams(block, order), 1):
+            answer = _answered(answers, n, np.int64)
+            everywhere = np.full(self.size, -1, np.int32)
+            everywhere[at] = place
+            self.keys.append(keys if n < order else None)
+            self.at.append(at)
+            self.place.append(everywhere)
+            self.n.append(answer >> 1)
+            self.own.append(answer & 1 > 0)
+
+    def p(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Probability on the arcs of the kept n-grams that end at these tokens."""
+        count = self.n[n][self.place[n][at]]
+        if n == 1:
+            return (count + 0.1) / self.total
+        return (count - DISCOUNT) / self.n[n - 1][self.place[n - 1][at - 1]]
+
+    def sums(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kept contexts of ``n - 1`` words, and what this block's own arcs add to the probability at them and below them."""
+        last = np.zeros(len(self.n[n]), np.int64)
+        last[self.place[n][self.at[n]]] = self.at[n]
+        at = last[self.own[n]]
+        context, size = self.place[n - 1][at - 1], len(self.n[n - 1])
+        mass = np.bincount(context, self.p(n, at), size).astype(np.float64)
+        below = np.bincount(context, self.p(n - 1, at), size).astype(np.float64)
+        asked = self.contexts(n)
+        return self.keys[n - 1][asked], mass[asked], below[asked]
+
+    def contexts(self, n: int) -> np.ndarray:
+        return np.flatnonzero(self.n[n - 1] > 0)
+
+    def score(self, answers: pa.Table) -> np.ndarray:
+        """Log10 probability of each token: along its arc, or by failure arcs from its state."""
+        out = np.log10(self.p(1, np.arange(self.size)))
+        for n in range(2, len(self.n)):
+            backoff = np.zeros(len(self.n[n - 1]))
+            backoff[self.contexts(n)] = _answered(answers, -n, np.float64)
+            at = self.at[n]
+            out[at] += backoff[self.place[n - 1][at - 1]]
+            arc = at[self.n[n][self.place[n][at]] > 0]
+            out[arc] = np.log10(self.p(n, arc))
+        return out
+
+
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, without the shuffle files once the table is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, name, compression="zstd")
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 3,
-    theta_word: float = 1e-5,
-    theta_gram: float = 1e-6,
+    min_count: int = 2,
     folds: int = 10,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """Scores of all texts under the model of those whose ``crc32(id as text) mod folds`` is not 0."""
-    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
     blocks = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out")).mapInArrow(
@@ -254,83 +254,81 @@ def score(
         "blocks",
         compression="zstd",
     )
-    vocabulary = materialize(
-        blocks.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary"
-    )
-    sums = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_tokens, n_words = sums["n"] or 0, sums["v"]
-    lexicon = vocabulary.where(F.col("n") >= max(2.0, theta_word * n_tokens)).toArrow()  # at most 1 / theta_word rows
-    words = lexicon.column("word").to_numpy().view(np.uint64)
-    by = np.argsort(words)
-    words, counts = words[by], lexicon.column("n").to_numpy()[by]
-    automaton = Automaton(words)
-    end = int(automaton.word_ids(np.array([END]))[0])
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def count(batches: Iterator[pa.RecordBatch], n: int = n, shared=shared) -> Iterator[pa.RecordBatch]:
-            for block in _rows(batches):
-                key, found = shared.value.candidates(block, n)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(found)], names=["gram", "n"])
-
-        kept = (
-            blocks.mapInArrow(count, "gram long, n long")
-            .groupBy("gram")
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= max(2.0, theta_gram * n_tokens))
-            .toArrow()
-        )  # at most 1 / theta_gram rows
-        key = kept.column("gram").to_numpy()
-        by = np.argsort(key)
-        automaton.grams.append(key[by])
-        automaton.counts.append(kept.column("n").to_numpy()[by])
-        shared.unpersist()
-    automaton.finish(counts, n_tokens, n_words, end)
-    model = spark.sparkContext.broadcast(automaton)
-    answers = (
-        blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word"))
-        .join(vocabulary, "word")
-        .select("of", "place", "n")
-    )
+    n_all = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(6, int(n_all // BUCKET_TOKENS).bit_length())
+    counted = None
+    for n in range(1, order + 1):
+
+        def deal(batches: Iterator[pa.RecordBatch], n: int = n) -> Iterator[pa.RecordBatch]:
+            for b in _rows(batches):
+                *_, (keys, at, place) = _grams(b, n)
+                train = np.repeat(~b["held_out"], b["lengths"])[at]
+                yield _dealt(b["block"], keys, bits, np.bincount(place[train], minlength=len(keys)))
+
+        def count(key: tuple, rows: pa.Table) -> pa.Table:
+            n = key[0].as_py()
+            rows, size, by, group, first = _bucket(rows)
+            total = np.add.reduceat(_values(rows, size, "first", np.int64)[by], first)
+            types, tokens = int((total > 0).sum()), int(total.sum())
+            total[total < (min_count if n > 1 else 1)] = 0
+            value = np.empty(len(by), np.int64)
+            value[by] = 2 * total[group]
+            value[by[first]] += total > 0  # the first block owns it
+            return _answers(rows, size, n, value, types, tokens)
+
+        part = _freed(blocks.mapInArrow(deal, _DEALT).groupBy(F.lit(n).alias("kind"), "bucket").applyInArrow(count, _ANSWER), f"counts_{n}")
+        counted = part if counted is None else counted.unionByName(part)
+    sums = counted.where("kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    n_tokens, n_words = sums["n"] or 0, sums["v"] or 0
+
+    def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        for b in _rows(left.to_batches()):
+            block = Block(b, order, right, n_tokens, n_words)
+            for n in range(2, order + 1):
+                keys, mass, below = block.sums(n)
+                part = _dealt(b["block"], keys, bits, mass, below)
+                made.append(pa.Table.from_batches([part]).append_column("kind", pa.array(np.full(part.num_rows, -n, np.int32))))
+        return pa.concat_tables(made)
+
+    def weigh(key: tuple, rows: pa.Table) -> pa.Table:
+        rows, size, by, group, first = _bucket(rows)
+        mass, below = (np.add.reduceat(_values(rows, size, c, np.float64)[by], first) for c in ("first", "second"))
+        alpha = (1 - mass) / np.maximum(1 - below, 1e-12)
+        value = np.empty(len(by))
+        value[by] = np.log10(np.maximum(alpha, 1e-300))[group]
+        return _answers(rows, size, key[0].as_py(), value, 0, 0)
+
+    def answered(answers: DataFrame, run, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(run, schema)
+
+    weights = _freed(answered(counted, contexts, f"{_DEALT}, kind int").groupBy("kind", "bucket").applyInArrow(weigh, _ANSWER), "weights")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
-        m = model.value
-        place, n = right.column("place").to_numpy(), right.column("n").to_numpy()
-        for block in _rows(left.to_batches()):
-            known = np.zeros(len(block["words"]), np.int64)
-            known[place] = n
-            c = known[block["tokens"]]
-            base_log = np.log10((known + 0.1) / m.floor)[block["tokens"]]
-            lengths = block["lengths"]
+        for b in _rows(left.to_batches()):
+            block = Block(b, order, right, n_tokens, n_words)
+            lengths, every = b["lengths"], np.arange(len(b["tokens"]))
             cuts = np.cumsum(lengths) - lengths
-            score = m.traverse(m.word_ids(block["words"])[block["tokens"]], base_log, lengths)
             made.append(
                 pa.table(
                     {
-                        "doc_id": block["doc_ids"],
-                        "held_out": pa.array(block["held_out"]),
+                        "doc_id": b["doc_ids"],
+                        "held_out": pa.array(b["held_out"]),
                         "n_tokens": pa.array(lengths),
-                        "n_known": pa.array(np.add.reduceat(c > 0, cuts, dtype=np.int64)),
+                        "n_known": pa.array(np.add.reduceat(block.n[1][block.place[1]] > 0, cuts, dtype=np.int64)),
                         "train_tokens": pa.array(np.full(len(lengths), n_tokens)),
-                        "base_score": pa.array(np.add.reduceat(base_log, cuts)),
-                        "score": pa.array(score),
+                        "base_score": pa.array(np.add.reduceat(np.log10(block.p(1, every)), cuts)),
+                        "score": pa.array(np.add.reduceat(block.score(right), cuts)),
                     }
                 )
             )
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        if not made:
-            return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
         return pa.concat_tables(made)
 
-    return (
-        blocks.groupBy("block")
-        .cogroup(answers.groupBy("of"))
-        .applyInArrow(
-            run,
-            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-        )
+    return answered(
+        counted.unionByName(weights),
+        run,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
 

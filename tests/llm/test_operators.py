@@ -515,6 +515,17 @@ def test_language_model(spark, docs, rows):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_language_model_grows_with_the_corpus(spark):
+    # over 200,000 tokens a count of 2 is below a hundred-thousandth: words and n-grams that occur twice must stay
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(3000))) for i in range(100)]
+    rows += [(i, f"rare{i // 2} pair{i // 2} once{i}") for i in range(100, 140)]
+    want = reference_scores(rows, theta_word=0, theta_gram=0)
+    got = {r["doc_id"]: r for r in ngram_lm.score(frame(spark, rows), block_tokens=50_000).collect()}
+    for i, (*_, base, score) in want.items():
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and got[i]["score"] == pytest.approx(score, rel=1e-9)
+
+
 def test_language_model_edges(spark):
     assert ngram_lm.score(empty(spark)).count() == 0
     got = ngram_lm.score(frame(spark, [(None, "a b"), (1, None), (1, "a b"), (2, "")])).collect()
