@@ -121,7 +121,7 @@ class ItemIndex:
         return np.take_along_axis(out, self.sampled[walk][item], axis=1)
 
     def candidates(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, offset of the item in the text) where seeds agree, near offsets as one."""
+        """(text, item, offset of the item in the text) where seeds agree, offsets within the edits allowed as one."""
         none = (np.zeros(0, np.int64),) * 3
         data = np.frombuffer(b"".join(texts), np.uint8)
         if len(data) < self.seed or not self.items:
@@ -141,11 +141,18 @@ class ItemIndex:
         offset = pos[hit] - (ends[doc] - np.array([len(t) for t in texts])[doc]) - self.place[entry]
         order = np.lexsort((offset, item, doc))
         doc, item, offset = doc[order], item[order], offset[order]
+        reach = np.maximum(1, self.edits[item])
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (offset[1:] - offset[:-1] > np.maximum(1, self.edits[item[1:]]))
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (offset[1:] - offset[:-1] > reach[1:])
+        chain = np.flatnonzero(new)
+        size = np.diff(np.append(chain, len(doc)))
+        kept = np.repeat(size >= np.minimum(2, self.length[item[chain]] - self.seed + 1), size)
+        # a chain beside a periodic stretch runs far past the item: cut it to windows as wide as the edits allow
+        cell = (offset - np.repeat(offset[chain], size)) // (reach + 1)
+        new[1:] |= cell[1:] != cell[:-1]
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(doc)))
-        keep = size >= np.minimum(2, self.length[item[first]] - self.seed + 1)
+        keep = kept[first]
         middle = first + size // 2
         return doc[first][keep], item[first][keep], offset[middle][keep]
 

@@ -554,6 +554,20 @@ def test_decontamination_recall_and_precision(spark):
     assert decontaminate.contaminated(frame(spark, [(None, None), (1, "")]), bench).count() == 0
 
 
+def test_decontamination_beside_periodic_text(spark):
+    rng, words = random.Random(8), vocabulary()
+    plain = " ".join(rng.choice(words) for _ in range(30))
+    items = [(0, "-" * 20 + plain), (1, plain[:90] + "=" * 30 + plain[90:]), (2, "ha " * 9 + plain[::-1])]
+    rows = []
+    for k, t in items:
+        for n in (0, 100, 400, 2000):
+            for stretch in ("-" * n, "=" * n, "ha " * (n // 3)):
+                rows += [(len(rows) * 10 + k, stretch + t), (len(rows) * 10 + 10 + k, t + " " + stretch)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_edits"] for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert all(got.get((i, i % 10)) == 0 for i, _ in rows)
+
+
 def test_nearest_equals_dynamic_programming():
     rng = random.Random(9)
     for _ in range(300):
