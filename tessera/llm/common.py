@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -55,14 +58,46 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize()`` from which nothing is read any more."""
+    for t in tables:
+        delete_path(t.sparkSession, t.stored_at.rpartition("/")[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes than this per core is dealt out by rows, as its file may be a single split.
+SMALL_SPLIT = 16 << 20
+
+
+def file_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that a frame reads, from the plan's statistics; None where it isn't one plain scan of files."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return size if plan.collectLeaves().size() == 1 and size < 1 << 60 else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, dealt out over all cores where it is too small for as many splits."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, file_bytes(df)
+    return df.repartition(cores) if size is not None and size < cores * SMALL_SPLIT else df
+
+
+def tasks_for(df: DataFrame, per_task: int = 128 << 20) -> int:
+    """How many partitions to deal a table's rows into: those of the session, or more so that each holds ``per_task`` bytes at most."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(file_bytes(df) or 0) // per_task))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null gives an empty array."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, rf"[{SPACE}]+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]++"), "")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node``, ``label``: the smallest node that is reachable over ``links`` (a, b).
 
     Each round takes the smallest label among a node's neighbours and then the
-    label of its label, so long chains halve; every round is a table in the
-    shared folder.  Groups are combined before they are shuffled, so a node with very many
+    label of its label, so chains halve and the rounds are as many as the logarithm of the longest
+    chain; every round is one table in the shared folder, whose writing counts the changes.
+    Groups are combined before they are shuffled, so a node with very many
     links costs one row per task.
     """
     edges = materialize(
@@ -23,16 +24,21 @@ def connected_components(links: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    labels = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    while True:
+    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    changed, spent = 1, None
+    while changed:
         near = edges.join(labels, F.col("u") == F.col("node")).groupBy("v").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("v"), "left").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
-        step = materialize(step, "step")
-        if not step.where("label <> old").head(1):
-            return labels
         far = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        labels = materialize(
-            step.join(far, F.col("label") == F.col("via"), "left").select("node", F.least("label", "far").alias("label")), "labels"
-        )
+        seen = Observation()
+        jumped = step.join(far, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", "far").alias("label"))
+        jumped = jumped.observe(seen, F.count(F.when(F.col("label") != F.col("old"), 1)).alias("changed"))
+        labels = materialize(jumped.select("node", "label"), "labels")
+        changed = seen.get["changed"]
+        if spent is not None:
+            discard(spent)
+        spent = labels
+    discard(edges)
+    return labels

@@ -1,7 +1,6 @@
 """Near-duplicate groups by SuperMinHash signatures.
 
-1.  A text's word shingles are hashed; texts with equal sets of shingles form a class, of
-    which the smallest id goes on.
+1.  A text's word shingles are hashed; texts with equal sets of shingles form a class, which is one node from here on.
 2.  SuperMinHash: each shingle walks through its own random permutation of
     the signature's places, in step with all shingles of the set; at step j it offers
     j plus a random fraction to the place it is at.  Once every place has an offer, later steps
@@ -9,20 +8,18 @@
 3.  Bands of the signature are bucket keys.  In each bucket every member is paired with the
     bucket's centre (another member in each bucket); in small buckets all
     members are paired.
-4.  Pairs are confirmed on the full sets, in rounds: each document's best pair that would join
-    two components, some rounds over, and then all that are left.  Pairs inside a component need no check.
-5.  Large buckets that still hold several components are settled last: members of
-    different components are compared by how many of their shingles fall into each of 256
-    cells, in blocks of bounded size.  The sum of the smaller counts bounds the intersection from above, so only pairs
-    that may link are confirmed, and none that links is lost.
-6.  Components by minimum labels.
-
-Only ids, keys and counts are grouped; texts travel once, for documents that
-have candidates.
-
-Cases: null and empty texts have no shingles and link with nothing; a row with a null id
-takes the component of its class and is not kept; rows with equal ids are one node and each
-has its row; an empty table gives an empty result; further columns are ignored.
+4.  Pairs are confirmed on the full sets: first each node's best pair, then those of the rest that would still join two
+    components.
+5.  In large buckets that still hold several components, the members outside the bucket's largest component
+    are compared with all members, on the full sets and inside one task for each block of bounded size; only links that
+    join two components leave the task.  So the rows are as many as the members, and none that links is lost.
+6.  Union-find by minimum labels; ids come back at the end.
+
+Only keys, counts and sets of hashes are grouped; texts are read twice and never shuffled, except for a semi-join by id.
+
+Cases: null and empty texts have no shingles and link with nothing; a row with a null id takes part and
+is not kept, its component is the smallest id of its group or null; rows with equal ids each have their own text and row;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import discard, materialize, spread, table
 from tessera.llm.components import connected_components
 from tessera.llm.hashing import mix, shingles, text_chunks, word_hashes
 
 _U = np.uint64
 #: Buckets of at most so many members pair all of them; larger ones pair with a centre, then across components.
 SMALL_BUCKET = 6
-#: Rounds of best pairs before all open pairs are confirmed at once.
-BEST_ROUNDS = 3
-#: Members of a large bucket that are compared with each other at a time.
-BLOCK = 4096
-CELLS = 256
+#: Shingles of the members, and of the askers, that meet in one task.
+BLOCK_SHINGLES = 1 << 18
+#: Columns of the task's incidence matrix that are held at a time.
+MATRIX_COLUMNS = 2048
 
 
 def super_min_hash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -85,20 +81,23 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def cell_counts(shingle_set: np.ndarray) -> bytes | None:
-    """How many shingles fall into each cell; None where a count needs more than a byte."""
-    n = np.bincount((shingle_set >> _U(56)).astype(np.int64), minlength=CELLS)
-    return n.astype(np.uint8).tobytes() if len(shingle_set) and n.max() < 256 else None
+def _sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets of shingles) of runs of texts."""
+    for lo, data, offsets in text_chunks(column):
+        h, before = word_hashes(data, offsets, lower=True)
+        yield lo, [shingles(h[a:b], shingle) for a, b in zip(before[:-1], before[1:], strict=True)]
+
+
+def _set_keys(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
 
 
 def _signed(shingle: int, bands: int, rows: int, chunk: int = 100_000):
-    """Batches of (doc_id, text) to doc_id, n_shingles, set_key, keys, cells."""
+    """Batches of (doc_id, text) to doc_id, n_shingles, set_key, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data, offsets in text_chunks(batch.column(1)):
-                h, before = word_hashes(data, offsets, lower=True)
-                sets = [shingles(h[a:b], shingle) for a, b in zip(before[:-1], before[1:], strict=True)]
+            for lo, sets in _sets_of(batch.column(1), shingle):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 group, held = [], 0
@@ -114,44 +113,44 @@ def _signed(shingle: int, bands: int, rows: int, chunk: int = 100_000):
                     [
                         batch.column(0).slice(lo, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        _set_keys(sets),
                         pa.array(keys, pa.list_(pa.int64())),
-                        pa.array([cell_counts(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "keys", "cells"],
+                    names=["doc_id", "n_shingles", "set_key", "keys"],
+                )
+
+    return run
+
+
+def _hashed(shingle: int):
+    """Batches of (doc_id, text) to set_key, shingles (the hashes, 8 bytes each, ascending)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _sets_of(batch.column(1), shingle):
+                yield pa.RecordBatch.from_arrays(
+                    [_set_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"]
                 )
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets have ``den * intersection >= num * union``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            ids, keep = batch.column(0).to_pylist(), []
-            sets = []
-            for column in (2, 3):
-                found = []
-                for _, data, offsets in text_chunks(batch.column(column)):
-                    h, before = word_hashes(data, offsets, lower=True)
-                    found += [(h, a, b) for a, b in zip(before[:-1], before[1:], strict=True)]
-                sets.append(found)
-            for i, a in enumerate(ids):
-                if last[0] != a:
-                    h, lo, hi = sets[0][i]
-                    last = (a, shingles(h[lo:hi], shingle))
-                h, lo, hi = sets[1][i]
-                other = shingles(h[lo:hi], shingle)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(den * both >= num * (len(last[1]) + len(other) - both))
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(den * both >= num * (len(one) + len(two) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -172,119 +171,153 @@ def near_duplicates(
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(
-        plain.mapInArrow(_signed(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, keys array<long>, cells binary"),
-        "signed",
+        plain.mapInArrow(_signed(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, keys array<long>"), "signed"
     )
-    usable = signed.where("doc_id is not null and set_key is not null")
-    classes = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("own"))
-    members = (
-        usable.join(reps, (usable["doc_id"] == reps["doc_id"]) & (usable["set_key"] == reps["own"]), "left_semi")
-        .select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
     )
-    order = F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("c")).where("n > 1")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
+    # the centre: the smallest node in an order of the bucket's own
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("c")).where("n > 1")
     # a table and not an aggregate below the join, so that adaptive execution may split a hot bucket's members
-    buckets = materialize(buckets.select("key", "n", F.col("c.doc_id").alias("centre")), "buckets")
-    shared = materialize(
-        members.join(buckets, "key").select(
-            "key", "n", "centre", "doc_id", "n_shingles"
-        ),
-        "shared",
-    )
+    buckets = materialize(buckets.select("key", "n", F.col("c").bitwiseXOR(F.col("key")).alias("centre")), "buckets")
+    shared = materialize(members.join(buckets, "key").select("key", "n", "centre", "node", "n_shingles"), "shared")
     small = shared.where(F.col("n") <= SMALL_BUCKET)
-    other = small.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("size_b"))
-    inner = small.join(other, "key").where(F.col("doc_id") < F.col("b"))
-    inner = inner.where(_sizes_allow("n_shingles", "size_b", num, den)).select(F.col("doc_id").alias("a"), "b")
-    star = shared.where((F.col("n") > SMALL_BUCKET) & (F.col("doc_id") != F.col("centre"))).select(
-        F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")
-    )
-    pairs = materialize(inner.unionByName(star).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
-    ids = shared.select("doc_id").distinct()
-    texts = materialize(plain.join(ids, "doc_id", "left_semi"), "texts", compression="zstd")
-
-    # each document's best pair that would join two components, by the buckets it shares; then all such pairs
-    links, labels, open_pairs = None, None, pairs
-    for number in range(BEST_ROUNDS + 1):
-        if labels is not None:
-            open_pairs = materialize(_across(open_pairs, labels), "open")
-            if not open_pairs.head(1):
-                break
-        chosen = open_pairs if number == BEST_ROUNDS else materialize(_best(open_pairs), "best")
-        found = materialize(_confirmed(chosen, texts, shingle, num, den), "links")
-        if labels is None or found.head(1):  # without new links the components stay
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-        if number < BEST_ROUNDS:
-            open_pairs = open_pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-    # then, in large buckets, members of different components
-    label = labels.select(F.col("node").alias("doc_id"), "label")
-    large = shared.where(F.col("n") > SMALL_BUCKET).join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    split = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    large = large.join(split, "key", "left_semi").select("key", "n", "doc_id", "label", "n_shingles")
-    # blocks of a bucket meet in pairs; a bucket of up to BLOCK members is one block
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    cells = signed.where("doc_id is not null").select("doc_id", "cells").dropDuplicates(["doc_id"])
-    dealt = (
-        large.join(cells, "doc_id")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "label", "n_shingles", "cells")
+    other = small.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("size_b"))
+    inner = small.join(other, "key").where(F.col("node") < F.col("b"))
+    inner = inner.where(F.lit(den) * F.least("n_shingles", "size_b") >= F.lit(num) * F.greatest("n_shingles", "size_b"))
+    star = shared.where((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("centre")))
+    pairs = inner.select(F.col("node").alias("a"), "b").unionByName(
+        star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     )
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = (
-        dealt.repartition(n_parts, "key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi")
-        .mapInArrow(_bounded(num, den), "a long, b long")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    last = materialize(_confirmed(rest, texts, shingle, num, den), "links")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+
+    asked = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "set_key", "rep")
+    texts = plain.join(asked.select(F.col("rep").alias("doc_id")).where("rep is not null").distinct(), "doc_id", "left_semi")
+    texts = texts.unionByName(plain.where("doc_id is null"))
+    hashed = texts.mapInArrow(_hashed(shingle), "set_key binary, shingles binary").where("set_key is not null")
+    hashed = hashed.join(asked.select("set_key", "node"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(hashed, "sets")
+
+    best = materialize(_best(pairs), "best")
+    links = materialize(_confirmed(best, sets, num, den), "links")
+    labels = connected_components(links)
+    rest = materialize(_across(pairs.join(best, ["a", "b"], "left_anti"), labels), "open")
+    more = materialize(_confirmed(rest, sets, num, den), "links")
+    if more.head(1):
+        old, labels = labels, connected_components(links.unionByName(more))
+        discard(old)
+    several = materialize(_unsettled(shared, labels), "several")
+    last = materialize(_settling(shared, labels, several, sets, num, den), "links")
     if last.head(1):
-        labels = connected_components(links.unionByName(last))
-    final = labels.select(F.col("node").alias("rep"), "label")
+        old, labels = labels, connected_components(links.unionByName(more).unionByName(last))
+        discard(old)
+    discard(buckets, shared, pairs, sets, best, links, rest, more, several, last)
+
+    groups = classes.join(labels, "node", "left").select("set_key", "rep", F.coalesce("label", "node").alias("label"))
+    first = groups.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = groups.join(first, "label").select("set_key", "component_id")
     return (
-        signed.join(classes, "set_key", "left")
-        .join(final, "rep", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.coalesce("label", "rep", "doc_id").alias("component_id"),
-        )
+        signed.select("doc_id", "n_shingles", "set_key")
+        .join(named, "set_key", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """Of each document the pair with most shared buckets."""
-    both = pairs.select(F.col("a").alias("doc"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("doc"), "a", "b", "n"))
-    best = both.groupBy("doc").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("x"))
+    """Of each node the pair with most shared buckets."""
+    both = pairs.select(F.col("a").alias("node"), "a", "b", "n").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "n"))
+    best = both.groupBy("node").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("x"))
     return best.select("x.a", "x.b").distinct()
 
 
-def _bounded(num: int, den: int):
-    """Pairs of different components in each block pair (key, lo, hi) whose cells allow a link."""
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of nodes of different components."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    return (
+        pairs.join(a, "a", "left")
+        .join(b, "b", "left")
+        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+        .select("a", "b", "n")
+    )
+
+
+def _large(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    large = shared.where(F.col("n") > SMALL_BUCKET).join(labels, "node", "left")
+    return large.withColumn("label", F.coalesce("label", "node"))
+
+
+def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Large buckets with several components: the largest of them, and the blocks of members and of the others."""
+    tally = _large(shared, labels).groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    several = (
+        tally.groupBy("key")
+        .agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most"))
+        .where("parts > 1")
+    )
+    units = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    return several.select(
+        "key", F.col("most.label").alias("main"), units(F.col("size")).alias("blocks"), units(F.col("size") - F.col("most.size")).alias("asking")
+    )
+
+
+def _settling(shared: DataFrame, labels: DataFrame, several: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components that meet in the buckets ``several``."""
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    place = lambda ask, block, asks: F.struct(ask.alias("ask"), block.alias("block"), F.lit(asks).alias("asks"))
+    # a member stands in its block before every block of askers, an asker in its own before every block of members
+    stands = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda x: place(x, spot("blocks"), False))
+    asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: place(spot("asking"), x, True))
+    dealt = (
+        _large(shared, labels)
+        .join(several, "key")
+        .withColumn("at", F.explode(F.when(F.col("label") != F.col("main"), F.concat(stands, asks)).otherwise(stands)))
+        .select("key", "at.ask", "at.block", "at.asks", "node", "label")
+        .join(sets, "node")
+        .select("key", "ask", "block", "asks", "node", "label", "shingles")
+    )
+    return (
+        dealt.repartition("key", "ask", "block")
+        .sortWithinPartitions("key", "ask", "block")
+        .mapInArrow(_joining(num, den), "a long, b long")
+        .distinct()
+    )
+
+
+def _joining(num: int, den: int):
+    """Of each task (key, ask, block) the links that join components."""
 
     def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
-        lo, hi = group[0][1], group[0][2]
-        ids = np.array([g[4] for g in group], np.int64)
-        label = np.array([g[5] for g in group], np.int64)
-        size = np.array([g[6] for g in group], np.int64)
-        unknown = np.array([g[7] is None for g in group])
-        cells = np.frombuffer(b"".join(g[7] or bytes(CELLS) for g in group), np.uint8).reshape(-1, CELLS)
-        side = np.array([g[3] for g in group]) != lo
-        first = np.arange(len(group)) if lo == hi else np.flatnonzero(~side)
+        asks = [g for g in group if g[3]]
+        members = [g for g in group if not g[3]]
+        if not asks or not members:
+            return [], []
+        both = _intersections([g[6] for g in asks], [g[6] for g in members])
+        size_a, size_m = (np.array([len(g[6]) for g in x]) for x in (asks, members))
+        linked = den * both >= num * (size_a[:, None] + size_m[None, :] - both)
+        label_a, label_m = (np.array([g[5] for g in x]) for x in (asks, members))
+        linked &= label_a[:, None] != label_m[None, :]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         a, b = [], []
-        for i in first.tolist():
-            j = np.arange(i + 1, len(group)) if lo == hi else np.flatnonzero(side)
-            j = j[(label[j] != label[i]) & (den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i]))]
-            if len(j):
-                most = np.minimum(cells[j], cells[i]).sum(axis=1, dtype=np.int64)
-                most = np.where(unknown[j] | unknown[i], np.minimum(size[j], size[i]), most)
-                j = j[(num + den) * most >= num * (size[j] + size[i])]
-                a += np.minimum(ids[j], ids[i]).tolist()
-                b += np.maximum(ids[j], ids[i]).tolist()
+        for i in np.flatnonzero(linked.any(axis=1)).tolist():
+            # one link to each component that the asker meets
+            there, one = np.unique(label_m[linked[i]], return_index=True)
+            for label, k in zip(there.tolist(), np.flatnonzero(linked[i])[one].tolist(), strict=True):
+                x, y = find(int(label_a[i])), find(label)
+                if x != y:
+                    root[x] = y
+                    a.append(min(asks[i][4], members[k][4]))
+                    b.append(max(asks[i][4], members[k][4]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,35 +328,44 @@ def _bounded(num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            plain = zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True)
+            for row, value in zip(plain, batch.column(6), strict=True):
                 if group and group[0][:3] != row[:3]:
                     yield settle()
                     group = []
-                group.append(row)
+                group.append((*row, np.frombuffer(value.as_buffer(), np.uint64)))
         if group:
             yield settle()
 
     return run
 
 
-def _sizes_allow(a: str, b: str, num: int, den: int):
-    """Sets whose sizes differ more can't reach the similarity."""
-    return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return (
-        pairs.join(a, "a", "left")
-        .join(b, "b", "left")
-        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-        .select("a", "b", "n")
-    )
+def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``one`` with every set of ``two``: products of incidence matrices."""
+    flat = np.concatenate([*one, *two])
+    owner = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in [*one, *two]])
+    known, column = np.unique(flat, return_inverse=True)
+    asked = np.zeros(len(known), bool)
+    asked[column[owner < len(one)]] = True
+    met = np.zeros(len(known), bool)
+    met[column[owner >= len(one)]] = True
+    number = np.cumsum(asked & met) - 1
+    used = (asked & met)[column]
+    owner, column = owner[used], number[column[used]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(one), len(two)), np.float32)  # counts below 2**24 are exact
+    last = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, last, MATRIX_COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + MATRIX_COLUMNS]))
+        there = np.zeros((len(one) + len(two), min(MATRIX_COLUMNS, last - lo)), np.float32)
+        there[owner[part], column[part] - lo] = 1
+        out += there[: len(one)] @ there[len(one) :].T
+    return out.astype(np.int64)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), shingle=2, num=80, den=100)
 
 
 OP1_SQL = r"""
