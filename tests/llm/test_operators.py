@@ -56,6 +56,7 @@ def corpus(seed=1, n=60):
     texts[15] = "a" * 2000
     texts[16] = "naïve café　 x  y \x1c z\r\n\x0b\x0c tail  "
     texts[17] = " ".join(rng.choice(words) for _ in range(6000))
+    texts[18] = "one  <|endoftext|> two<|endoftext|>"
     return list(enumerate(texts))
 
 
@@ -115,10 +116,10 @@ def test_near_duplicates(docs, rows, k, num, den):
 
 
 def test_near_duplicates_large_buckets(spark, monkeypatch):
-    """A family of near copies, some linked only through others, with tiny buckets, blocks and few rounds."""
+    """A family of near copies, some linked only through others, with tiny buckets, blocks and matrices."""
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "BEST_ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
+    monkeypatch.setattr(near_dedup, "MATRIX_COLUMNS", 50)
     rng, words = random.Random(5), vocabulary()
     base = [rng.choice(words) for _ in range(120)]
     rows = []
@@ -139,6 +140,48 @@ def test_near_duplicates_nulls_and_empty(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_equal_ids_of_different_texts(spark):
+    rng, words = random.Random(6), vocabulary()
+    one, two = ([rng.choice(words) for _ in range(60)] for _ in range(2))
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one, "x"])), (3, " ".join([*two, "x"])), (None, " ".join([*one, "y"])), (4, "\t")]
+    got = near_dedup.near_duplicates(frame(spark, rows), shingle=2, num=80, den=100).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got) == [
+        (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)
+    ]
+
+
+def test_near_duplicates_long_texts(spark):
+    rng = random.Random(7)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-9000], *(f"v{i}" for i in range(9000))])), (3, " ".join(reversed(w))), (4, "a " * 300_000), (5, "a " * 299_999)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), shingle=2, num=80, den=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_joining_leaves_no_link_out():
+    """Links within one task against all pairs: the components are the same, and a link at most for each merge."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**62, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.92], rng.integers(0, 2**62, 5).astype(np.uint64)])) for _ in range(80)]
+    asks = [i % 2 == 0 for i in range(80)]
+    rows = [(1, 0, 0, False, i, i, s.tobytes()) for i, s in enumerate(sets)] + [(1, 0, 0, True, i, i, s.tobytes()) for i, s in enumerate(sets) if asks[i]]
+    names = ["key", "ask", "block", "asks", "node", "label", "shingles"]
+    batch = pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    links = [x for b in near_dedup._joining(80, 100)(iter([batch])) for x in zip(*b.to_pydict().values(), strict=True)]
+    full = [(a, b) for a in range(80) for b in range(80) if a != b and asks[a] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+
+    def groups(pairs):
+        root = list(range(80))
+        for _ in range(80):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert set(links) <= {(min(x), max(x)) for x in full} and len(links) < 80 and groups(links) == groups(full)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)
@@ -168,6 +211,17 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc_store.read_archive(spark, f"{path}-empty").count() == 0
 
 
+def test_archive_null_and_equal_keys(spark, tmp_path):
+    rows = [(None, "u", "a"), (2, "v", "a"), (1, "w", "b"), (1, "w", "b"), (None, "x", "c"), (3, "y", "z" * 3_000_000), (4, "y", "z" * 3_000_000)]
+    path = f"file://{tmp_path}/keys"
+    warc_store.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted((r["record_key"] or "", r["record_type"], r["refers_to"] or "", len(r["payload"])) for r in warc_store.read_archive(spark, path).collect())
+    assert got == [
+        ("", "response", "", 1), ("", "revisit", "2", 1), ("1", "response", "", 1), ("1", "response", "", 1),
+        ("2", "response", "", 1), ("3", "response", "", 3_000_000), ("4", "revisit", "3", 3_000_000),
+    ]
+
+
 def test_damaged_archive_is_an_error(spark, tmp_path):
     path = f"file://{tmp_path}/archive"
     warc_store.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path)
@@ -178,19 +232,28 @@ def test_damaged_archive_is_an_error(spark, tmp_path):
 
 
 @pytest.fixture(scope="module")
-def ids(rows):
-    enc = tokens.encoder(tokens.DEFAULT_TOKENIZER)
-    return {i: [*enc._tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+def library():
+    """The library on its own, as the contract names it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.tokenizer_path(tokens.DEFAULT_TOKENIZER))
 
 
-def test_units_equal_whole_texts():
+@pytest.fixture(scope="module")
+def ids(rows, library):
+    return {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+
+
+def test_units_equal_whole_texts(library):
     import pyarrow as pa
 
     enc, rng = tokens.UnitEncoder(), random.Random(2)
     parts = [" ", "  ", "\n", "\t", "a", "é", "'s", "1", ".", "\xa0", "　", "\x85", "\x1c", "中", "<|endoftext|>", "​", " ", " ab", "«"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None]
     got = [ids[a:b].tolist() for _, ids, off in enc.encode(pa.array(texts)) for a, b in zip(off[:-1], off[1:], strict=True)]
-    assert got == [enc._tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    found = list(enc.encode(pa.array(["a", "abc <|endoftext|> def", "b <|endo", "ftext|>"])))
+    assert found[0][1].tolist() == [x for t in ("a", "abc <|endoftext|> def", "b <|endo", "ftext|>") for x in library.encode(t, add_special_tokens=False).ids]
 
 
 def test_token_archive(spark, docs, rows, ids, tmp_path):
@@ -207,7 +270,8 @@ def test_token_archive(spark, docs, rows, ids, tmp_path):
     assert token_archive.read_archive(spark, f"{path}-empty").count() == 0
     twice = frame(spark, [(1, "b"), (None, "c"), (1, "a")])
     token_archive.write_archive(twice, f"{path}-twice")
-    assert [r["n_tokens"] for r in token_archive.read_archive(spark, f"{path}-twice").collect()] == [2, 2, 2]
+    got = token_archive.read_archive(spark, f"{path}-twice").collect()
+    assert sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in got) == [(0, None, 2), (2, 1, 2), (4, 1, 2)]  # null ids first
 
 
 def test_coder_segments_and_damage():
@@ -244,6 +308,8 @@ def test_packing(spark, docs, rows, ids):
         assert at == total if total else 0 < at <= width
     assert sorted(by_seq) == list(range(len(by_seq)))
     assert packing.pack(empty(spark)).count() == 0
+    twice = packing.pack(frame(spark, [(1, "b"), (None, "c"), (1, "a"), (2, None)])).collect()
+    assert sorted((r["offset"], r["length"]) for r in twice) == [(0, 2), (2, 2), (4, 2), (6, 1)] and len({r["sequence_id"] for r in twice}) == 1
 
 
 def test_shortest_pack_first_places_all():
@@ -258,6 +324,7 @@ def test_shortest_pack_first_places_all():
     assert placed == histogram
     used = sum(n * c for n, c in histogram.items())
     assert used / (1024 * sum(c for _, c in patterns)) > 0.95
+    assert sum(c for _, c in packing.shortest_pack_first({100: 1000}, 1024)) == 100
 
 
 def base_counts(text):
@@ -278,6 +345,12 @@ def test_quality_counts(spark, docs, rows):
     assert {(r["doc_id"], *[r[c] for c in quality_rules.BASE_COUNTS]) for r in got} == {(i, *base_counts(t)) for i, t in extra}
 
 
+def test_quality_long_texts(spark):
+    rows = [(1, " " * 1_000_000 + "x"), (2, "w v " * 400_000), (3, "\n" * 500_000), (3, "y" * 1_000_000), (3, None)]
+    got = quality_rules.text_features(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], *[r[c] for c in quality_rules.BASE_COUNTS]) for r in got) == sorted((i, *base_counts(t)) for i, t in rows)
+
+
 def test_quality_learns_and_holds_out(spark):
     rng, words = random.Random(8), vocabulary()
     rows, labels = [], []
@@ -357,6 +430,39 @@ def test_pii_learns_secrets_and_redacts(spark):
         assert "@" not in r["clean"] and r["clean"].endswith("é [EMAIL]")
 
 
+def test_pii_long_and_equal_texts(spark):
+    """A megabyte of matches, and equal ids: linear in a text, and every row of its own."""
+    many = "a.b@c.de " * 110_000
+    rows = [(1, many), (2, "+1 (990) 555-2115 " * 20_000), (3, "x" * 1_000_000), (3, "me@b.org"), (3, None)]
+    df = pii.detect(frame(spark, rows), "doc_id", "text", "text").withColumn("clean", pii.redacted(F.col("text"), F.col("spans")))
+    got = sorted(df.select("doc_id", "n_email", "n_phone", F.crc32("clean"), F.get("base", F.size("base") - 1)["e"]).collect(), key=lambda r: (r[0], r[1], r[3] or 0))
+    crc = lambda t: zlib.crc32(t.encode())
+    assert [tuple(r) for r in got] == [
+        (1, 110_000, 0, crc("[EMAIL] " * 110_000), 989_999), (2, 0, 20_000, crc("[PHONE] " * 20_000), 359_999),
+        (3, 0, 0, None, None), (3, 0, 0, crc("x" * 1_000_000), None), (3, 1, 0, crc("[EMAIL]"), 8),
+    ]
+
+
+def test_pii_redaction_of_overlapping_spans(spark):
+    rng, rows = random.Random(5), []
+    for i in range(200):
+        text = "".join(rng.choice("abé🎉 ") for _ in range(rng.randint(0, 3000)))
+        spans = sorted((a, rng.randrange(5), rng.randint(a + 1, min(len(text), a + 900))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 600) if text else 0)))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<s:int,k:int,e:int>>")
+    for r in df.withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).collect():
+        want, end = "", 0
+        runs = []
+        for s, k, e in r["spans"]:
+            if runs and s < runs[-1][2]:
+                runs[-1][2] = max(runs[-1][2], e)
+            else:
+                runs.append([s, k, e])
+        for s, k, e in runs:
+            want, end = want + r["text"][end:s] + f"[{pii.KINDS[k].upper()}]", e
+        assert r["clean"] == want + r["text"][end:]
+
+
 def test_expectation_maximisation_finds_the_bad_labeler():
     rng, counts = random.Random(3), collections.Counter()
     for _ in range(4000):
@@ -436,6 +542,26 @@ def test_engines_agree_with_counting():
         assert [x.tolist() for x in substring_dedup.suffix_tree_engine(window)(texts)] == want
 
 
+def test_subtree_nodes_are_maximal_repeats():
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = [np.array([rng.choice(b"ab") for _ in range(rng.randint(1, 30))], np.uint8) for _ in range(rng.randint(1, 6))]
+        tree, flat, at = substring_dedup.Subtree(texts), [], 0
+        for t in texts:
+            flat += [t[k:].tobytes() for k in range(len(t))]
+        assert [flat[k] for k in tree.order] == sorted(flat)
+        places = {depth: {frozenset(leaves.tolist()): size for size, leaves in tree.nodes(depth)} for depth in (3, 5)}
+        for depth, nodes in places.items():
+            by = collections.defaultdict(set)
+            for k, s in enumerate(flat):
+                if len(s) >= depth:
+                    by[s[:depth]].add(k)
+            assert set(nodes) == {frozenset(v) for v in by.values() if len(v) > 1}
+            for leaves, size in nodes.items():
+                assert len({flat[k][:size] for k in leaves}) == 1
+                assert len({flat[k][: size + 1] for k in leaves}) > 1 or any(len(flat[k]) == size for k in leaves)
+
+
 def test_merge_orders_shards_and_gives_common_prefixes():
     """Interleave and common prefixes of two shards of plain strings against sorting."""
     strings = [[1, 2, 1, 3], [2, 1, 3], [1, 2, 2], [3, 1, 2, 1]]
@@ -452,7 +578,7 @@ def test_merge_orders_shards_and_gives_common_prefixes():
         bwt_dedup.Shard(symbols, length, np.flatnonzero(owner == k), 1, 4, np.array(last)[2 * k : 2 * k + 2], np.array(first)[2 * k : 2 * k + 2])
         for k in (0, 1)
     ]
-    own, block, common = bwt_dedup.merge(shards, 4)
+    own, common = bwt_dedup.merge(shards, 4)
     suffix = lambda k: tuple((flat[k : k + length[k]] + [0] * 4)[:4])
     want = sorted((suffix(k), int(owner[k])) for k in range(len(flat)))
     assert own[4:].tolist() == [o for _, o in want]
@@ -546,7 +672,7 @@ def test_decontamination_recall_and_precision(spark):
             t.insert(50, "".join(raw).replace(" ", rng.choice([" ", "\n", "  "])))
             want.add((i, k))
         rows.append((i, " ".join(t)))
-    bench = spark.createDataFrame([*items, (100, None), (101, ""), (102, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (100, None), (101, ""), (102, "0123456")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
     assert len(got & want) / len(want) >= 0.97 and not got - want
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
@@ -554,6 +680,39 @@ def test_decontamination_recall_and_precision(spark):
     assert decontaminate.contaminated(frame(spark, [(None, None), (1, "")]), bench).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 1.0])
+@pytest.mark.parametrize("kind", ["even sub", "even ins", "even del", "random mix"])
+def test_decontamination_recall_by_edits(kind, share):
+    """Edits evenly spaced or at random, up to the limit of a tenth: all matches get a window, and 0.9 and more are found."""
+    rng, words = random.Random(12), vocabulary()
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(12, 60))).encode()) for k in range(80)]
+    texts = []
+    for _, item in items:
+        m, raw = len(item), bytearray(item)
+        k = int(m * 0.1 * share)
+        for p in sorted((int((i + 0.5) * m / k) for i in range(k)) if "even" in kind else rng.sample(range(m), k), reverse=True):
+            op = rng.choice(["sub", "ins", "del"]) if "mix" in kind else kind[-3:]
+            raw[p : p + (op != "ins")] = b"" if op == "del" else bytes([rng.choice(b"xyz")])
+        around = [" ".join(rng.choice(words) for _ in range(40)).encode() for _ in range(2)]
+        texts.append(around[0] + b" " + bytes(raw) + b" " + around[1])
+    index = decontaminate.ItemIndex(items, 0.1, 4, 64, 3)
+    want = {(i, i) for i, (_, item) in enumerate(items) if decontaminate.nearest(item, texts[i])[0] <= len(item) // 10}
+    text, segment, _ = index.candidates(*decontaminate._flat(texts))
+    assert want <= set(zip(text.tolist(), index.item[segment].tolist(), strict=True)) and len(want) == 80
+    got = {(d, i) for d, i, _ in index.matches(texts)}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
+def test_decontamination_short_equal_and_long(spark):
+    rng, words = random.Random(13), vocabulary()
+    passage = " ".join(rng.choice(words) for _ in range(3000))
+    items = [(1, "q"), (2, "zq y"), (2, "zebra crossing"), (3, passage), (None, "null item xy"), (4, "\t ")]
+    rows = [(1, "Q"), (1, "x ZQ  y k"), (2, "the zebra crosing"), (3, "p " + passage[:5000] + "!!" + passage[5010:] + " s"), (4, "w " * 400_000), (5, "a null item xy"), (None, "zq y")]
+    bench = spark.createDataFrame([(i, t, "clash", 7) for i, t in items], "item_id long, text string, doc_id string, n_edits int")
+    got = sorted(decontaminate.contaminated(frame(spark, rows), bench).collect(), key=repr)
+    assert {(r["doc_id"], r["item_id"]): r["n_edits"] for r in got} == {(1, 1): 0, (1, 2): 0, (2, 2): 1, (3, 3): 10, (5, None): 0, (None, 2): 0} and len(got) == 6
+
+
 def test_decontamination_beside_periodic_text(spark):
     rng, words = random.Random(8), vocabulary()
     plain = " ".join(rng.choice(words) for _ in range(30))
