@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, spread, table, tasks_for
 from tessera.llm.tokens import DEFAULT_TOKENIZER, END_ID, encoder
 
 WIDTH = 1024
@@ -85,7 +85,11 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[dic
         left = histogram[length]
         while left:
             if not spaces or spaces[-1] < length:
-                put({length: 1}, width - length, left)
+                # one after another they would fill a new pack before they open the next
+                most = width // length
+                for copies, packs in ((most, left // most), (left % most, 1)):
+                    if copies and packs:
+                        put({length: copies}, width - copies * length, packs)
                 break
             space = spaces[-1]
             pattern, count = by_space[space].pop()
@@ -154,10 +158,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it comes from and where it stands."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written first: range partitioning reads its input twice, once for a sample
     pieces = materialize(token_pieces(docs, id_col, text_col, tokenizer, width), "encoded")
-    rows = materialize(_numbered(pieces, n), "pieces")
+    rows = materialize(_numbered(pieces, tasks_for(pieces)), "pieces")
     totals = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("full")).cast("long").alias("f")).collect()
     row_base, full_base, r, f = {}, {}, 0, 0
     for t in sorted(totals, key=lambda t: t["part"]):  # one row per partition
@@ -208,4 +211,4 @@ def pack(
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import delete_path, new_path, table
+from tessera.llm.common import delete_path, new_path, table, tasks_for
 from tessera.llm.tokens import DEFAULT_TOKENIZER, END_ID, encoder
 
 LANES = 512
@@ -195,7 +195,7 @@ def write_archive(
 ) -> None:
     """Encode ``docs`` in ascending order of their ids into the archive ``path``."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(docs)
     raw_path = f"{path}-raw"
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(
         n, "doc_id"

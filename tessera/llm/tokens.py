@@ -27,6 +27,8 @@ END_ID = 0
 #: other than those of U+0080-U+00BF and U+1000-U+3FFF, where the further white space lies.
 _SOLID_START = np.zeros(256, bool)
 _SOLID_START[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+
+
 def tokenizer_path(name: str) -> str:
     """A path as it is, or the place of a public vocabulary file on this machine."""
     if os.sep in name:
@@ -48,7 +50,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        # strings that stand for one token wherever they occur: texts that hold one are encoded whole
+        self._added = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._joins = not any(len(t.split()) > 1 for t in self._added)
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u4" if size > 1 << 16 else "<u2")
         self._max = max_cached
@@ -68,8 +72,9 @@ class UnitEncoder:
         ids, counts = [], np.zeros(len(units), np.int64)
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         joined = [units[i] for i in np.flatnonzero(plain).tolist()]
-        for lo in range(0, len(joined), 256):
-            some = joined[lo : lo + 256]
+        many = 256 if self._joins else 1
+        for lo in range(0, len(joined), many):
+            some = joined[lo : lo + many]
             found = np.array(self._tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(self._opens[found])
             if len(at) != len(some):
@@ -92,7 +97,36 @@ class UnitEncoder:
     def encode(self, column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets of its texts' ids) of runs of texts; null is empty."""
         for lo, data, offsets in text_chunks(column, max_bytes):
-            yield lo, *self._encode(data, offsets)
+            whole = self._holding_added(data, offsets)
+            yield lo, *(self._mixed(data, offsets, whole) if len(whole) else self._encode(data, offsets))
+
+    def _holding_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold the string of an added token."""
+        raw, found = data.tobytes(), []
+        for token in self._added:
+            at = raw.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[text + 1]:
+                    found.append(text)
+                    at = raw.find(token, int(offsets[text + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return np.unique(np.array(found, np.int64))
+
+    def _mixed(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode``, with the texts ``whole`` encoded by the library in one piece each."""
+        ids, counts, lo = [], np.zeros(len(offsets) - 1, np.int64), 0
+        for i in [*whole.tolist(), len(counts)]:
+            part, before = self._encode(data[offsets[lo] : offsets[i]], offsets[lo : i + 1] - offsets[lo])
+            ids.append(part)
+            counts[lo:i] = np.diff(before)
+            if i < len(counts):
+                text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "surrogatepass")
+                ids.append(np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype))
+                counts[i] = len(ids[-1])
+            lo = i + 1
+        return np.concatenate(ids), np.append(0, np.cumsum(counts))
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
