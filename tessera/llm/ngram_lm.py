@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, spread, table
 from tessera.llm.hashing import mix, text_chunks, word_hashes
 
 END = np.uint64(1)
@@ -333,4 +333,4 @@ def score(
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(spread(table(spark, sf_dir, "documents")))

@@ -19,12 +19,13 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import bound, materialize, spread, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 
@@ -36,42 +37,92 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = "[A-Za-z0-9_+/=-]"
-_CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z_+/=-]*[0-9]){_TOKEN}{{16,}}+"
+_CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z_+/=-]*+[0-9]){_TOKEN}{{16,}}+"
 #: Words that announce a secret (fixed values).
 GAZETTEER = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "auth", "bearer", "credential")
+#: Characters in front of a candidate that labelers look at.
 _BEFORE = 24
+#: Elements that running() and redacted() take at a time.
+_BLOCK = 256
+_PIECE = 1024
 
 
-def find_all(text: Column, pattern: str, gate: Column) -> Column:
+def _ints() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _running(sizes: Column, base: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` folded over an array from ``base``: the value after each element. Appends, so for short arrays only."""
+    return F.aggregate(
+        sizes,
+        F.struct(base.alias("at"), _ints().alias("out")),
+        lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], x))).alias("out")),
+        lambda acc: acc["out"],
+    )
+
+
+def running(sizes: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` (a sum, a maximum) folded over an array of numbers of 0 or more, block by block: the value after each element."""
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
+        ends = _running(totals, F.lit(0), step)
+        before = bound(ends, lambda e: F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0)))))
+        return F.flatten(F.zip_with(blocks, before, lambda b, base: _running(b, base, step)))
+
+    def cut(v: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / _BLOCK).cast("int") - 1, F.lit(0))),
+            lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)),
+        )
+
+    return bound(sizes, lambda v: bound(cut(v), of_blocks))
+
+
+def _before(values: Column, n: int, start: Column) -> Column:
+    """An array moved on by ``n`` places, ``start`` in front."""
+    return F.slice(F.concat(F.array_repeat(start, n), values), F.lit(1), F.size(values))
+
+
+def find_all(text: Column, pattern: str, gate: Column, context: int = 0) -> Column:
     """Leftmost non-overlapping matches as structs ``s`` (start), ``e`` (end), ``m`` (text); texts without ``gate`` are skipped.
 
-    The texts between matches give the offsets, since split and extract find the same matches.
+    The texts between matches give the offsets, since split and extract find the same matches. With ``context``
+    there are also ``before``, so many characters in front, and ``after``, the next character; matches of at least half as many
+    characters are taken for granted then.
     """
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    kind = "s:int,e:int,m:string" + (",before:string,after:string" if context else "")
     pairs = F.zip_with(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        F.transform(F.split(text, pattern, -1), lambda g: F.length(g)),
+        F.split(text, pattern, -1),
         lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")),
     )
-    found = F.aggregate(
-        F.filter(pairs, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("s"),
-                        (acc["at"] + x["gap"] + F.length(x["m"])).alias("e"),
-                        x["m"].alias("m"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(gate, found).otherwise(none)
+
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))), lambda a, x: a + x)
+        if not context:
+            whole = F.zip_with(p, ends, lambda x, e: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m")))
+            return F.filter(whole, lambda x: x["m"].isNotNull())
+        tails = F.transform(p, lambda x: F.right(F.concat(x["gap"], F.coalesce(x["m"], F.lit(""))), F.lit(context)))
+        before = bound(tails, lambda t: F.zip_with(_before(t, 2, F.lit("")), _before(t, 1, F.lit("")), lambda a, b: F.concat(a, b)))
+        # the gap behind a match: its neighbour's
+        after = F.transform(F.concat(F.slice(p, F.lit(2), F.size(p)), F.slice(p, F.lit(1), F.lit(1))), lambda x: F.left(x["gap"], F.lit(1)))
+        around = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+        placed = F.zip_with(p, ends, lambda x, e: F.struct(x.alias("x"), e.alias("e")))
+        whole = F.zip_with(
+            placed,
+            around,
+            lambda y, c: F.struct(
+                (y["e"] - F.length(y["x"]["m"])).alias("s"),
+                y["e"].alias("e"),
+                y["x"]["m"].alias("m"),
+                F.right(F.concat(c["b"], y["x"]["gap"]), F.lit(context)).alias("before"),
+                c["a"].alias("after"),
+            ),
+        )
+        return F.filter(whole, lambda x: x["m"].isNotNull())
+
+    return F.when(gate, bound(pairs, placed)).otherwise(F.array().cast(f"array<struct<{kind}>>"))
 
 
 def _digits(m: Column) -> Column:
@@ -117,13 +168,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep:
     for kind, (pattern, gate) in gates.items():
         found = find_all(text, pattern, gate)
         df = df.withColumn(kind, F.filter(found, _checks(kind)) if _checks(kind) else found)
-    cands = find_all(text, _CANDIDATE, F.regexp_like(text, F.lit(rf"(?=[A-Za-z_+/=-]*[0-9]){_TOKEN}{{16}}")))
+    cands = find_all(text, _CANDIDATE, F.regexp_like(text, F.lit(rf"(?<!{_TOKEN})(?=[A-Za-z_+/=-]*+[0-9]){_TOKEN}{{16}}")), _BEFORE)
     df = df.withColumn("_cands", cands)
     words = "|".join(GAZETTEER)
 
     def look(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - _BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(_BEFORE)))
-        after = F.substring(text, x["e"] + 1, 1)
+        before, after = x["before"], x["after"]
         m, size = x["m"], F.length(x["m"])
         digits = F.length(_digits(m))
         return F.struct(
@@ -269,40 +319,47 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *kee
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every run of overlapping spans replaced by its first kind in brackets."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<s:int,k:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["s"] < F.get(acc, F.size(acc) - 1)["e"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.get(acc, F.size(acc) - 1)["s"].alias("s"),
-                        F.get(acc, F.size(acc) - 1)["k"].alias("k"),
-                        F.greatest(F.get(acc, F.size(acc) - 1)["e"], x["e"]).alias("e"),
-                    )
+    """The text with every run of overlapping spans (in order of their starts) replaced by its first kind in brackets."""
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def piece(pieces: Column, a: Column, b: Column) -> Column:
+        """Characters a to b, from the pieces of ``_PIECE`` characters that hold them."""
+        lo, hi = F.floor(a / _PIECE).cast("int"), F.floor((b - 1) / _PIECE).cast("int")
+        held = F.array_join(F.slice(pieces, lo + 1, hi - lo + 1), "")
+        return F.when(b > a, F.substring(held, a - lo * _PIECE + 1, b - a)).otherwise("")
+
+    def runs(v: Column) -> Column:
+        """Starts and kinds of runs, each with where the last run ended; the last one of kind -1 stands for the text's end."""
+        ends = running(F.transform(v, lambda x: x["e"]), lambda a, x: F.greatest(a, x))
+        return bound(
+            ends,
+            lambda e: F.concat(
+                F.filter(
+                    F.zip_with(v, _before(e, 1, F.lit(0)), lambda x, b: F.struct(x["s"].alias("s"), x["k"].alias("k"), b.alias("b"))),
+                    lambda x: x["s"] >= x["b"],
                 ),
+                F.array(F.struct(F.length(text).alias("s"), F.lit(-1).alias("k"), F.array_max(e).alias("b"))),
             ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    ends = F.transform(merged, lambda x: x["e"])
-    parts = F.transform(
-        merged,
-        lambda x, i: F.concat(
-            F.substring(text, F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, x["s"] - F.coalesce(F.get(ends, i - 1), F.lit(0))),
-            F.get(marks, x["k"]),
-        ),
-    )
-    last = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0))
-    whole = F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.greatest(F.length(text) - last, F.lit(0))))
+        )
+
+    def written(pieces: Column, v: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                runs(v),
+                lambda x: F.concat(
+                    piece(pieces, x["b"], x["s"]), F.when(x["k"] >= 0, F.get(marks, x["k"])).otherwise("")
+                ),
+            ),
+            "",
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    whole = bound(F.struct(pieces.alias("p"), spans.alias("v")), lambda x: written(x["p"], x["v"]))
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(table(spark, sf_dir, "documents")).select(
+    return detect(spread(table(spark, sf_dir, "documents"))).select(
         "doc_id",
         *[f"n_{k}" for k in KINDS[:4]],
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"),

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, materialize, table, words
+from tessera.llm.common import SPACE, materialize, spread, table, words
 
 #: Features that rules may test, each a double computed from the counts.
 FEATURES = (
@@ -280,4 +280,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
