@@ -52,8 +52,8 @@ class Shard:
         self.ends = len(last)
 
 
-def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard of each suffix, block of equal prefixes, common prefix with the suffix before) after ``rounds`` refinements."""
+def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each suffix, common prefix with the suffix before, in symbols) after ``rounds`` refinements; -1: so many or more."""
     sizes = np.array([len(s.transform) for s in shards])
     base = np.cumsum(sizes) - sizes
     transform = np.concatenate([s.transform for s in shards])
@@ -75,7 +75,7 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.
         border = np.concatenate([np.ones(len(ends), bool), border])
         common[border & (common < 0)] = h - 1
         block = np.cumsum(border)
-    return own, block, common
+    return own, common
 
 
 def bwt_engine(window: int, step: int = SYMBOL, n_shards: int = SHARDS):
@@ -126,7 +126,8 @@ def bwt_engine(window: int, step: int = SYMBOL, n_shards: int = SHARDS):
             for s in range(n_shards)
             if (shard_of == s).any()
         ]
-        own, block, _ = merge(shards, depth)
+        own, common = merge(shards, depth)
+        block = np.cumsum(common >= 0)  # repeated intervals: suffixes that share a whole window with the one before
         # the k-th suffix of a shard in the merged order is the k-th of the shard's own order
         position = np.empty(len(own), np.int64)
         for s, shard in enumerate(shards):

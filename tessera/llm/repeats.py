@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, new_path
+from tessera.llm.common import discard, materialize, new_path, tasks_for
 from tessera.llm.hashing import _BYTE, mix, powers, text_chunks, word_spans, prefix_sums, span_hashes
 
 #: Of a minimizer with more different pieces than this, the key is extended.
@@ -255,7 +255,7 @@ def _compare(units: Units, engine: Engine):
 def bucketed(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """The texts as a table bucketed by a row number: ``rid``, ``doc_id``, ``text``."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(docs)
     table = f"{name}_{uuid.uuid4().hex}"
     (
         docs.select(
@@ -275,8 +275,7 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFram
 
 def repeated_spans(texts: DataFrame, units: Units, engine: Engine) -> DataFrame:
     """``rid`` and ``spans`` (array of s, e in units): stretches of windows that also start elsewhere. texts: of bucketed()."""
-    spark = texts.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(texts)
     pieces = materialize(
         texts.select("rid", "text").mapInArrow(_pieces(units), "key long, piece long, rid long, first int, r int, off int, times int"),
         "pieces",
@@ -320,7 +319,9 @@ def repeated_spans(texts: DataFrame, units: Units, engine: Engine) -> DataFrame:
         again = materialize(rows.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w"), "again")
         wide = rows.where("n = 1").join(again, "w", "left_semi")
         found = found.unionByName(wide.select("rid", "s", (F.col("s") + units.window).cast("int").alias("e")))
-    return spans.unionByName(found).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = materialize(spans.unionByName(found).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    discard(pieces, keys, shared, distinct, sizes)
+    return spans
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

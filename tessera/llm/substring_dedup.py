@@ -2,9 +2,8 @@
 
 A group of suffixes shares its prefix, the minimizer of its windows (see
 ``repeats``); prefixes of groups that are too large for memory are longer.  For
-each batch of whole groups the suffix tree is built as far as it matters: ranks of
-prefixes of 1, 2, 4, ... words by doubling, up to the depth of a window.  Leaves below
-one node of that depth are equal windows, and overlapping ones join to maximal repeats.
+each batch of whole groups the subtree is built, and the leaves below its inner nodes that are as deep as a
+window or deeper are the places of repeats; overlapping ones join to maximal repeats.
 
 Cases: null and empty texts, and those shorter than a window, lose nothing; equal rows lose their
 whole text if it has a window; ids may be null or repeat; an empty table gives an
@@ -26,28 +25,50 @@ from tessera.llm.repeats import Units, bucketed, covered, repeated_spans, slices
 WINDOW = 35
 
 
-def tree_nodes(texts: list[np.ndarray], depth: int) -> np.ndarray:
-    """For every position of the joined texts the number of its ancestor node at string depth ``depth``, or -1 past the end."""
-    joined = np.concatenate(texts)
-    lengths = np.array([len(t) for t in texts])
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(joined))  # units up to the end of the text
-    rank = np.unique(joined, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        further = np.full(len(rank), -1, np.int64)
-        further[:-step] = rank[step:]
-        rank = np.unique(rank * np.int64(len(rank) + 1) + further + 1, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return np.where(left >= depth, rank, -1)
+class Subtree:
+    """The suffix tree of some texts as the order of their suffixes and the string depth at which neighbours part.
+
+    Inner nodes are the stretches of this order whose neighbours all share a prefix; the leaves below are
+    the stretch.  Suffixes end with their text. Ranks of prefixes of 1, 2, 4, ... units give the order, and,
+    from the longest to the shortest, the common prefixes.
+    """
+
+    def __init__(self, texts: list[np.ndarray]):
+        lengths = np.array([len(t) for t in texts])
+        self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(int(lengths.sum()))  # units up to the end of the text
+        ranks = [np.unique(np.concatenate(texts), return_inverse=True)[1].astype(np.int64)]
+        while 1 << (len(ranks) - 1) < int(lengths.max()):
+            step, last = 1 << (len(ranks) - 1), ranks[-1]
+            further = np.zeros(len(last), np.int64)
+            on = np.flatnonzero(self.left > step)
+            further[on] = last[on + step] + 1
+            ranks.append(np.unique(last * np.int64(len(last) + 1) + further, return_inverse=True)[1].astype(np.int64))
+        self.order = np.argsort(ranks[-1], kind="stable")
+        a, b = self.order[:-1], self.order[1:]
+        most = np.minimum(self.left[a], self.left[b])
+        self.depth = np.zeros(len(a), np.int64)
+        for level in range(len(ranks) - 1, -1, -1):
+            on = np.flatnonzero(self.depth < most)
+            same = on[ranks[level][a[on] + self.depth[on]] == ranks[level][b[on] + self.depth[on]]]
+            self.depth[same] = np.minimum(self.depth[same] + (1 << level), most[same])
+
+    def nodes(self, depth: int) -> list[tuple[int, np.ndarray]]:
+        """The topmost nodes of at least ``depth``: how long a prefix their leaves share, and the leaves' positions."""
+        deep = np.concatenate([[False], self.depth >= depth, [False]])
+        first, last = np.flatnonzero(deep[1:] & ~deep[:-1]), np.flatnonzero(deep[:-1] & ~deep[1:])
+        return [(int(self.depth[a:b].min()), self.order[a : b + 1]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+    def repeated(self, depth: int) -> np.ndarray:
+        """For every position whether it is a leaf below a node of at least ``depth``: so many units from there on occur elsewhere."""
+        out, deep = np.zeros(len(self.order), bool), self.depth >= depth
+        out[self.order[:-1][deep]] = True
+        out[self.order[1:][deep]] = True
+        return out
 
 
 def suffix_tree_engine(window: int):
     def engine(texts: list[np.ndarray]) -> list[np.ndarray]:
-        node = tree_nodes(texts, window)
-        leaves = np.bincount(node[node >= 0], minlength=1)
-        again = (node >= 0) & (leaves[np.maximum(node, 0)] > 1)
-        out, at = [], 0
+        again, out, at = Subtree(texts).repeated(window), [], 0
         for t in texts:
             out.append(again[at : at + len(t) - window + 1])
             at += len(t)
