@@ -6,6 +6,7 @@ import os
 import re
 
 import pytest
+from tokenizers import Tokenizer
 
 pipeline = pytest.importorskip("corpus_pipeline")
 DIR = "/root/testdata/sf0.001"
@@ -42,14 +43,46 @@ def test_stages(spark):
         assert not base_spans(r["text"]) and not re.search(r'"[0-9a-f]{40}"', r["text"])
         if not base_spans(clean[i]["text"]) and "token" not in clean[i]["text"]:
             assert r["text"] == clean[i]["text"]
-    enc = tokens.encoder(tokens.DEFAULT_TOKENIZER)
-    total = {i: len(enc._tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in redacted.items()}
+    library = Tokenizer.from_file(tokens.tokenizer_path(tokens.DEFAULT_TOKENIZER))
+    total = {i: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in redacted.items()}
     pieces = docs.groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in pieces} == total
 
 
+def test_rows_with_odd_ids_and_texts(spark, tmp_path):
+    """Null, equal and clashing: only copies, failing and contaminated rows go."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghi") for _ in range(6)) for _ in range(n))
+    one, two, three, item = text(80), text(90), text(100), text(40)
+    rows = [(1, one), (1, two), (None, three), (None, one + " x"), (2, two), (3, None), (4, ""), (5, text(60) + " " + item), (None, text(60) + item + text(9)), (7, text(70) + " a.b@c.de")]
+    docs = [(i, t, "en", "s", len(t or ""), "clash", 1) for i, t in rows]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row string, component_id int"
+    spark.createDataFrame(docs, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
+    assert got == sorted([(1, one), (1, two), (None, three), (7, rows[-1][1].replace("a.b@c.de", "[EMAIL]"))], key=repr)
+    pieces = pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0) for r in pieces if r["start"] == 0) == [0, 1, 1, 7]
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_run_and_registration(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is pipeline.run
-    assert pipeline.run(spark, DIR).count() > 0
+    pieces = pipeline.run(spark, DIR).collect()
+    by = {}
+    for r in pieces:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert by and all(sum(n for _, n in sorted(p)) == max(a + n for a, n in p) <= 1024 for p in by.values())
