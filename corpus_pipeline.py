@@ -4,10 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 DataFrame; ``run`` writes each stage's rows as Parquet in the shared folder and
 reads them back for the next.  Stages but the last return the columns of ``documents``.
 
-Cases: rows with null ids or texts pass through the stages as the operators' docstrings say: a null
-or empty text fails the quality rules, so it goes in the first stage; a document without id can't be named as
-the one that stays, so the near-duplicate stage drops it.  Of rows with equal ids, as of equal texts, one
-stays.  An empty table gives an empty result.
+Cases: a null or empty text fails the quality rules, so it goes in the first stage.  Rows with null or equal ids are
+documents of their own: the near-duplicate stage numbers the rows, keeps of each group the row with the smallest id (null
+ids last), and so loses none but copies; the other stages judge row by row.  An
+empty table gives an empty result; columns beyond those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, near_dedup, packing, pii, quality_rules
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, spread, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,14 +31,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, five-word shingles at 0.8 or more: the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, shingle=5, num=4, den=5).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    # rows are known by a number, as ids may be null or repeat; written, so that it stays the same
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows", compression="zstd")
+    groups = near_dedup.near_duplicates(rows, "row", shingle=5, num=4, den=5).select(F.col("doc_id").alias("row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(F.min(place).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage close to a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    # a row is known by its id and text, as ids may be null or repeat
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    found = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), "row").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
