@@ -205,14 +205,10 @@ def near_duplicates(
     labels = connected_components(links)
     rest = materialize(_across(pairs.join(best, ["a", "b"], "left_anti"), labels), "open")
     more = materialize(_confirmed(rest, sets, num, den), "links")
-    if more.head(1):
-        old, labels = labels, connected_components(links.unionByName(more))
-        discard(old)
+    labels = _joined(labels, more)
     several = materialize(_unsettled(shared, labels), "several")
     last = materialize(_settling(shared, labels, several, sets, num, den), "links")
-    if last.head(1):
-        old, labels = labels, connected_components(links.unionByName(more).unionByName(last))
-        discard(old)
+    labels = _joined(labels, last)
     discard(buckets, shared, pairs, sets, best, links, rest, more, several, last)
 
     groups = classes.join(labels, "node", "left").select("set_key", "rep", F.coalesce("label", "node").alias("label"))
@@ -245,6 +241,20 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels with further links, which are looked at between components only."""
+    if not links.head(1):
+        return labels
+    one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
+    ends = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    over = connected_components(ends)
+    far = over.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    known = labels.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    out = materialize(known.unionByName(over.join(labels, "node", "left_anti")), "labels")
+    discard(labels, over)
+    return out
+
+
 def _large(shared: DataFrame, labels: DataFrame) -> DataFrame:
     large = shared.where(F.col("n") > SMALL_BUCKET).join(labels, "node", "left")
     return large.withColumn("label", F.coalesce("label", "node"))

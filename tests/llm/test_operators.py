@@ -710,7 +710,7 @@ def test_decontamination_short_equal_and_long(spark):
     rows = [(1, "Q"), (1, "x ZQ  y k"), (2, "the zebra crosing"), (3, "p " + passage[:5000] + "!!" + passage[5010:] + " s"), (4, "w " * 400_000), (5, "a null item xy"), (None, "zq y")]
     bench = spark.createDataFrame([(i, t, "clash", 7) for i, t in items], "item_id long, text string, doc_id string, n_edits int")
     got = sorted(decontaminate.contaminated(frame(spark, rows), bench).collect(), key=repr)
-    assert {(r["doc_id"], r["item_id"]): r["n_edits"] for r in got} == {(1, 1): 0, (1, 2): 0, (2, 2): 1, (3, 3): 10, (5, None): 0, (None, 2): 0} and len(got) == 6
+    assert {(r["doc_id"], r["item_id"]): r["n_edits"] for r in got} == {(1, 1): 0, (1, 2): 0, (2, 2): 1, (3, 3): 10, (5, None): 0, (None, 1): 0, (None, 2): 0} and len(got) == 7
 
 
 def test_decontamination_beside_periodic_text(spark):
