@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,6 +107,29 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> Data
     )
 
 
+def cumulative(df: DataFrame, order_by: Sequence[str | Column], sums: Mapping[str, str]) -> DataFrame:
+    """For each name the sum of a column over all rows before, in the order of a key (columns or sort expressions).
+
+    Sums run inside the partitions of a range partitioning, and each is shifted by the totals of the partitions before it,
+    so no task sees the whole table.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order_by).withColumn("_part", F.spark_partition_id())
+    placed = placed.persist()  # both uses must see the same range bounds, which are drawn when first computed
+    totals = placed.groupBy("_part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_before_{name}") for name, c in sums.items()])
+    before, rows = [0] * len(sums), []
+    for r in sorted(totals.collect(), key=lambda r: r["_part"]):  # one row per partition
+        rows.append((r["_part"], *before))
+        before = [b + t for b, t in zip(before, r[1:], strict=True)]
+    kinds = [float if f.dataType == T.DoubleType() else int for f in totals.schema[1:]]
+    shift = spark.createDataFrame([(p, *[k(b) for k, b in zip(kinds, own, strict=True)]) for p, *own in rows], totals.schema)
+    w = Window.partitionBy("_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0)) for name, c in sums.items()})
+    moved = inside.join(F.broadcast(shift), "_part")
+    return moved.withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in sums}).drop("_part", *[f"_before_{name}" for name in sums])
+
+
 def keep_first(df: DataFrame, columns: Sequence[str], order_by: str) -> DataFrame:
     """Of rows equal in ``columns`` the one that comes first by ``order_by``; the group's least key is a combinable aggregate."""
     first = df.groupBy(*columns).agg(F.min(order_by).alias("_first"))

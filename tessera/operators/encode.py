@@ -3,8 +3,8 @@
 ``fit_*`` returns a small DataFrame that maps a category to its columns; ``apply`` is
 one left join with defaults for categories that the fit has not seen. The join is left to adaptive
 execution, which broadcasts the map when it is small. Where the value depends on the
-row and not only on its category (leave-one-out, ordered statistics), the encoder is
-a window over the category's rows in the order of a declared key.
+row and not only on its category (leave-one-out, ordered statistics), there is a form for the rows of the
+fit, in the order of a declared key, and a ``_new`` form for others.
 
 Parameters that libraries disagree on (smoothing, direction, hash) are explicit arguments.
 """
@@ -14,16 +14,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.clean import cumulative, row_index
+
 
 def codes(df: DataFrame, col: str, order_by: str | None = None, mapping: Sequence[str] | None = None) -> DataFrame:
     """``cat``, ``code`` from 1: in the order of ``mapping``, else of first appearance by ``order_by``, else of the values."""
     if mapping is not None:
         return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(mapping, 1)], "cat string, code long")
     first = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("cat")).agg(F.min(order_by or col).alias("_first"))
-    return first.select("cat", F.row_number().over(Window.orderBy("_first", "cat")).cast("long").alias("code"))
+    return row_index(first, ["_first", "cat"], "_place").select("cat", (F.col("_place") + 1).cast("long").alias("code"))
 
 
 def apply(df: DataFrame, fitted: DataFrame, col: str, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -139,11 +141,28 @@ def leave_one_out(df: DataFrame, col: str, y: str, prior: float, out: str = "loo
     return df.join(sums, F.col(col).eqNullSafe(F.col("_cat"))).withColumn(out, value).drop("_cat", "_n", "_s")
 
 
+def leave_one_out_new(df: DataFrame, col: str, y: str) -> tuple[DataFrame, float | None]:
+    """``loo`` for rows that the fit has not seen: the category's plain mean; and the mean for unknown categories."""
+    fitted, prior = target_mean(df, col, y)
+    return fitted.withColumnRenamed("te", "loo"), prior
+
+
 def ordered_statistic(df: DataFrame, col: str, y: str, order_by: str, prior: float, a: float = 1.0, out: str = "ots") -> DataFrame:
-    """Statistic of the category's earlier rows in the order of a unique key; the first takes the prior."""
-    w = Window.partitionBy(col).orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
-    s = F.coalesce(F.sum(F.col(y).cast("double")).over(w), F.lit(0.0))
-    return df.withColumn(out, (s + a * F.lit(prior)) / (F.count("*").over(w) + a))
+    """Statistic of the category's earlier rows in the order of a unique key; the first takes the prior.
+
+    Running sums over the table in the order of category and key, less those at the category's first row.
+    """
+    rows = df.withColumns({"_y": F.coalesce(F.col(y).cast("double"), F.lit(0.0)), "_one": F.lit(1).cast("long")})
+    rows = cumulative(rows, [col, order_by], {"_s": "_y", "_n": "_one"}).drop("_y", "_one")
+    first = rows.groupBy(F.col(col).alias("_cat")).agg(F.min(F.struct("_n", "_s")).alias("_f"))
+    value = (F.col("_s") - F.col("_f._s") + a * F.lit(prior)) / (F.col("_n") - F.col("_f._n") + a)
+    return rows.join(first, F.col(col).eqNullSafe(F.col("_cat"))).withColumn(out, value).drop("_cat", "_f", "_s", "_n")
+
+
+def ordered_statistic_new(df: DataFrame, col: str, y: str, a: float = 1.0) -> tuple[DataFrame, float | None]:
+    """``ots`` for rows that the fit has not seen: the statistic of all the category's rows; and the mean for unknown categories."""
+    fitted, prior = target_mean(df, col, y, a)
+    return fitted.withColumnRenamed("te", "ots"), prior
 
 
 def james_stein(df: DataFrame, col: str, y: str) -> tuple[DataFrame, float | None]:

@@ -1,8 +1,7 @@
 """Metrics over a table of scores: id, y in {0, 1}, p, and maybe a subgroup.
 
-Rank metrics first group rows by distinct score, so the one ordered window runs over
-distinct scores and not over rows. Curves with a point per row number the rows
-inside equal scores by the unique id. Undefined values (one class only) are null, ratios without denominator 0.
+Rank metrics are running sums over a range partitioning (``clean.cumulative``), after rows are grouped by distinct score where
+that is enough. Curves with a point per row order rows of equal score by the unique id. Undefined values (one class only) are null, ratios without denominator 0.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.clean import row_index
+from tessera.operators.clean import cumulative, row_index
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -48,28 +47,25 @@ def auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by mid-ranks: ties count half."""
     y = F.col("y").cast("long")
     per_score = df.groupBy(*by, "p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    w = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    ranked = cumulative(per_score, [*by, "p"], {"below": "neg"})
+    # the negatives of the subgroups in front are below each of a subgroup's scores
     return ranked.groupBy(*by).agg(
-        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("area"), F.min("below").alias("front"),
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
     ).select(
-        *by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("area") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc")
+        *by,
+        F.when(
+            (F.col("n_pos") > 0) & (F.col("n_neg") > 0),
+            (F.col("area") - F.col("front") * F.col("n_pos")) / (F.col("n_pos").cast("double") * F.col("n_neg")),
+        ).alias("auc"),
     )
 
 
 def _ranked(df: DataFrame) -> DataFrame:
     """Rows with ``rn``, ``tp``, ``fp`` counted down from the highest score, rows of equal score by id."""
-    per = df.groupBy("p").agg(F.count("*").alias("_n"), F.sum("y").alias("_t"))
-    above = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(
-        F.col("p").alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(above), F.lit(0)).alias("_t0")
-    )
-    own = Window.partitionBy("p").orderBy("id")
-    ranked = df.withColumn("_i", F.row_number().over(own)).withColumn("_c", F.sum("y").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out = ranked.join(per, F.col("p") == F.col("_p"))
-    return out.select(
-        "id", "y", "p", (F.col("_n0") + F.col("_i")).alias("rn"), (F.col("_t0") + F.col("_c")).alias("tp")
-    ).withColumn("fp", F.col("rn") - F.col("tp"))
+    rows = df.select("id", F.col("y").cast("long").alias("y"), "p", F.lit(1).cast("long").alias("_one"))
+    out = cumulative(rows, [F.desc("p"), F.asc("id")], {"rn": "_one", "tp": "y"}).drop("_one")
+    return out.withColumns({"rn": F.col("rn") + 1, "tp": F.col("tp") + F.col("y")}).withColumn("fp", F.col("rn") - F.col("tp"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
@@ -92,9 +88,9 @@ def roc_curve(df: DataFrame) -> DataFrame:
 def roc_curve_grouped(df: DataFrame) -> DataFrame:
     """A point per distinct score."""
     per = df.groupBy("p").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("f"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     totals = df.agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"))
-    cum = per.select("p", F.sum("t").over(w).alias("tp"), F.sum("f").over(w).alias("fp")).join(F.broadcast(totals))
+    cum = cumulative(per, [F.desc("p")], {"tp": "t", "fp": "f"})
+    cum = cum.select("p", (F.col("tp") + F.col("t")).alias("tp"), (F.col("fp") + F.col("f")).alias("fp")).join(F.broadcast(totals))
     return cum.select("p", ratio(F.col("fp").cast("double"), F.col("n_neg")).alias("fpr"), ratio(F.col("tp").cast("double"), F.col("n_pos")).alias("tpr"))
 
 
@@ -108,8 +104,7 @@ def pr_curve(df: DataFrame) -> DataFrame:
 def mid_ranks(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with the mean of the ranks that their rows share."""
     per = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select("value", "n", (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0).alias("mid_rank"))
+    return cumulative(per, ["value"], {"before": "n"}).select("value", "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("mid_rank"))
 
 
 def sweep_thresholds(steps: int = 91, first: float = 0.05, step: float = 0.01) -> Column:
@@ -232,19 +227,22 @@ def permutation_importance(df: DataFrame, score: callable, columns: Sequence[str
     """Mean drop of the AUC when a column's values are dealt out anew by hash order.
 
     score: from columns of the frame to the score column. Rows and shuffled values are paired by
-    position; all columns and repeats share one pass of scoring.
+    position; all columns and repeats share one order and one pass of scoring. Columns are numbers.
     """
+    n, rounds = df.count(), [(c, r) for c in columns for r in range(repeats)]
     base = row_index(df, ["id"], "_pos")
-    parts = [df.select(F.lit("").alias("feature"), F.lit(-1).alias("round"), "id", "y", score({c: F.col(c) for c in columns}).alias("p"))]
-    for c in columns:
-        for r in range(repeats):
-            order = F.md5(F.concat(F.lit(f"{seed}|{c}|{r}|"), F.col("id").cast("string")))
-            dealt = row_index(df.select("id", order.alias("_h"), F.col(c).alias("_new")), ["_h", "id"], "_pos").select("_pos", "_new")
-            cols = {k: (F.col("_new") if k == c else F.col(k)) for k in columns}
-            parts.append(base.join(dealt, "_pos").select(F.lit(c).alias("feature"), F.lit(r).alias("round"), "id", "y", score(cols).alias("p")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    # every column and repeat has n dealt values, so their positions follow from one order of all of them
+    dealt = df.select(
+        "id",
+        F.explode(
+            F.array(*[F.struct(F.lit(i).alias("i"), F.md5(F.concat(F.lit(f"{seed}|{c}|{r}|"), F.col("id").cast("string"))).alias("h"), F.col(c).cast("double").alias("new")) for i, (c, r) in enumerate(rounds)])
+        ).alias("x"),
+    ).select("id", "x.*")
+    dealt = row_index(dealt, ["i", "h", "id"], "_at").select("i", (F.col("_at") - F.col("i") * F.lit(n)).alias("_pos"), "new")
+    feature, number = (F.get(F.array(*[F.lit(x[k]) for x in rounds]), F.col("i")) for k in (0, 1))
+    cols = {c: F.when(feature == c, F.col("new")).otherwise(F.col(c).cast("double")) for c in columns}
+    rows = base.join(dealt, "_pos").select(feature.alias("feature"), number.alias("round"), "id", "y", score(cols).alias("p"))
+    rows = rows.unionByName(df.select(F.lit("").alias("feature"), F.lit(-1).alias("round"), "id", "y", score({c: F.col(c).cast("double") for c in columns}).alias("p")))
     areas = auc(rows, ["feature", "round"])
     whole = areas.where("round = -1").select(F.col("auc").alias("whole"))
     return areas.where("round >= 0").join(F.broadcast(whole)).groupBy("feature").agg(F.avg(F.col("whole") - F.col("auc")).alias("auc_drop"))
@@ -255,6 +253,11 @@ def weighted_mean_loss(df: DataFrame, loss: str, n: str) -> DataFrame:
     return df.agg((F.sum(F.col(loss) * F.col(n)) / F.sum(n)).alias("mean_loss"))
 
 
+def top_features(importance: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` features whose shuffling costs most."""
+    return importance.orderBy(F.desc("auc_drop"), "feature").limit(n)
+
+
 def fold_summary(df: DataFrame, metric: str) -> DataFrame:
     return df.agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.clean import row_index
+
 
 def _per_column(df: DataFrame, columns: Sequence[str], stats: dict[str, callable], out: str) -> DataFrame:
     """All statistics of all columns in one pass, then one row per column."""
@@ -98,10 +100,8 @@ def class_histogram(df: DataFrame, value: str, label: str, lo: float, hi: float,
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """Distinct values with their places in code-point order, from 0."""
-    from pyspark.sql import Window
-
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("place", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+    return row_index(values, ["value"], "place")
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -60,18 +60,16 @@ def column_types(s, d):
     return s.createDataFrame(rows, "column_name string, kind string")
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey < 3")
+@query("SELECT c_custkey, c_acctbal FROM customer")
 def json_object_or_list(s, d):
-    """One file with an object, one with a list of objects."""
-    import json
-
-    from tessera.plans.q_sources import _put
-
-    rows = [r.asDict() for r in read(s, d, "customer").where("c_custkey < 3").select("c_custkey", "c_acctbal").orderBy("c_custkey").collect()]
-    one = _put(s, "one.json", json.dumps(rows[0]).encode())
-    many = _put(s, "many.json", json.dumps(rows[1:], indent=2).encode())
-    schema = "c_custkey long, c_acctbal double"
-    return files.read_records(s, one, schema).unionByName(files.read_records(s, many, schema))
+    """One file with an object, and files with lists of up to a thousand objects."""
+    rows = read(s, d, "customer").select("c_custkey", F.to_json(F.struct("c_custkey", "c_acctbal")).alias("js"))
+    alone = rows.where("c_custkey = 1").select(F.lit("one").alias("g"), F.col("js").alias("value"))
+    part = (F.col("c_custkey") / 1000).cast("long").cast("string").alias("g")
+    lists = rows.where("c_custkey <> 1").groupBy(part).agg(F.concat(F.lit("["), F.array_join(F.collect_list("js"), ",\n"), F.lit("]")).alias("value"))
+    path = files.scratch_path(s, "records")
+    alone.unionByName(lists).write.partitionBy("g").option("lineSep", "\n").text(path)
+    return files.read_records(s, path, "c_custkey long, c_acctbal double").select("c_custkey", "c_acctbal")
 
 
 @query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_partkey LIMIT 20")

@@ -248,6 +248,11 @@ def permutation_importance(s, d):
     return m.permutation_importance(e, _linear, ["a", "b", "c"])
 
 
+@query(f"SELECT * FROM ({_importance_sql()}) ORDER BY auc_drop DESC, feature LIMIT 2")
+def top_features(s, d):
+    return m.top_features(permutation_importance(s, d), 2)
+
+
 _BATCH = f"SELECT CAST(floor(id / 256) AS BIGINT) AS batch, avg({_BCE}) AS loss, count(*) AS n FROM ({_Z}) GROUP BY 1"
 
 

@@ -240,7 +240,7 @@ def class_names(s, d):
 
 def _vectors(s, d):
     e = read(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") > 4).cast("long").alias("y"))
-    return split.folds(e, "vec_id", "y", 2)
+    return split.folds(e, "vec_id", "y", 5)
 
 
 @query()
@@ -253,7 +253,7 @@ def logreg_fit_score(s, d):
 @query()
 def model_leaderboard(s, d):
     rows = models.as_vectors(_vectors(s, d), "embedding", "y", "vec_id", "fold").persist()
-    return models.leaderboard(rows, 64, names=("logistic", "tree", "bayes", "svm"))
+    return models.leaderboard(rows, 64)
 
 
 @query()
@@ -262,7 +262,7 @@ def random_search(s, d):
 
     rows = models.as_vectors(_vectors(s, d), "embedding", "y", "vec_id", "fold").persist()
     make = lambda p: LogisticRegression(featuresCol="x", labelCol="y", maxIter=10, **p)
-    return models.random_search(rows.where("fold <> 0"), rows.where("fold = 0"), make, {"regParam": [0.0, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, 3)
+    return models.random_search(rows.where("fold <> 0"), rows.where("fold = 0"), make, {"regParam": [0.0, *(10.0**k for k in range(-4, 2))], "elasticNetParam": [k / 10 for k in range(11)]})
 
 
 @query()
@@ -280,9 +280,15 @@ def xor_demo(s, d):
 
 @query()
 def mlp_training(s, d):
-    rows = _vectors(s, d).select("vec_id", F.col("embedding").alias("x"), "y")
-    _, history = train.fit(rows, "x", "y", "vec_id", [64, 8, 1], epochs=3, batches=2)
-    return s.createDataFrame([(i, h) for i, h in enumerate(history)], "epoch long, loss double")
+    """A network by the whole protocol; its history, and the test AUC and F1 at the chosen threshold, looked at once."""
+    rows = _vectors(s, d).select("vec_id", F.col("embedding").alias("x"), "y", "fold")
+    part = lambda *k: rows.where(F.col("fold").isin(*k))
+    chosen = train.fit_selected(part(2, 3, 4), part(1), "x", "y", "vec_id", [64, 32, 1], batches=2, lr=5e-3)
+    again = train.Selected.from_json(chosen.to_json())
+    test = train.probabilities(part(0), "x", "y", "vec_id", again.model)
+    final = metrics.bundle(test, again.threshold).first()
+    out = [(f"epoch {e}", loss, auc) for e, loss, auc in chosen.history] + [("test", float(final["f1"]), float(final["auc"]))]
+    return s.createDataFrame(out, "step string, value double, auc double")
 
 
 _SCORE = f"1 / (1 + exp(-(0.8{_D} * c_acctbal - 0.3{_D} * c_nationkey + 0.4{_D} * \"c_mktsegment=BUILDING\")))"
@@ -325,7 +331,87 @@ def request_metrics(s, d):
     return scoring.request_metrics(scoring.score_stream(read(s, d, "events"), F.col("value") / 200, 0.25, "ts"), "ts")
 
 
-@query("SELECT grp, avg(acc) AS accuracy FROM (SELECT CAST(o_custkey % 3 AS BIGINT) AS grp, CASE WHEN (o_totalprice > 250000) = (o_orderstatus = 'F') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS acc FROM orders) GROUP BY 1")
+def _woe_sql(col: str) -> str:
+    src = f"(SELECT * FROM ({_SPLIT_SQL}) WHERE NOT is_val)"
+    return f"""SELECT {col} AS cat, ln((CAST(sum(y) AS DOUBLE) / (SELECT sum(y) FROM {src})) / (CAST(sum(1 - y) AS DOUBLE) / (SELECT sum(1 - y) FROM {src}))) AS woe FROM {src} GROUP BY 1"""
+
+
+_GAP = " UNION ALL ".join(
+    f"""SELECT '{name}' AS variant, CAST(o_custkey % 3 AS BIGINT) AS grp, count(*) AS n, avg(CAST(round({z}, 9) > 0 AS INTEGER)) AS positive_rate,
+avg(CASE WHEN y = 1 THEN CAST(round({z}, 9) > 0 AS INTEGER) END) AS recall FROM ({_SPLIT_SQL}) r
+JOIN ({_woe_sql("o_orderpriority")}) a ON a.cat = r.o_orderpriority JOIN ({_woe_sql("o_custkey % 3")}) b ON b.cat = r.o_custkey % 3 WHERE is_val GROUP BY 2"""
+    for name, z in (("with", "a.woe + b.woe"), ("without", "a.woe"))
+)
+
+
+@query(_GAP)
 def sensitive_attribute_gap(s, d):
-    rows = labelled_orders(s, d).select((F.col("o_custkey") % 3).cast("long").alias("grp"), ((F.col("o_totalprice") > 250000).cast("long") == F.col("y")).cast("double").alias("acc"))
-    return rows.groupBy("grp").agg(F.avg("acc").alias("accuracy"))
+    """Decisions per subgroup by evidence learned with the sensitive attribute and without it."""
+    rows = _split_orders(s, d).withColumn("grp", (F.col("o_custkey") % 3).cast("long"))
+    known, z = rows.where("not is_val"), {}
+    for col in ("o_orderpriority", "grp"):
+        fitted = encode.weight_of_evidence(known, col, "y").withColumnRenamed("woe", f"w_{col}")
+        rows = encode.apply(rows, fitted, col)
+    z = {"with": F.col("w_o_orderpriority") + F.col("w_grp"), "without": F.col("w_o_orderpriority")}
+    out = None
+    for name, value in z.items():
+        hit = (F.round(value, 9) > 0).cast("int")
+        part = rows.where("is_val").groupBy("grp").agg(F.count("*").alias("n"), F.avg(hit).alias("positive_rate"), F.avg(F.when(F.col("y") == 1, hit)).alias("recall"))
+        part = part.select(F.lit(name).alias("variant"), "grp", "n", "positive_rate", "recall")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_FOLDED = f"""SELECT y, o_orderpriority AS cat, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) % 5 AS BIGINT) AS fold FROM ({ORDERS_SQL})"""
+_SWAP = f"""WITH t AS (SELECT cat, fold, CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS q FROM ({_FOLDED}) GROUP BY 1, 2),
+c AS (SELECT cat, sum(p) AS p, sum(q) AS q FROM t GROUP BY 1), g AS (SELECT fold, sum(p) AS p, sum(q) AS q FROM t GROUP BY 1), a AS (SELECT sum(p) AS p, sum(q) AS q FROM t),
+m AS (SELECT t.fold, t.p AS pos, t.q AS neg, round((c.p - t.p) / (c.p + c.q - t.p - t.q), 12) AS one_hot, round(ln(((c.p - t.p) / (a.p - g.p)) / ((c.q - t.q) / (a.q - g.q))), 12) AS woe
+FROM t JOIN c ON c.cat = t.cat JOIN g ON g.fold = t.fold CROSS JOIN a)
+""" + " UNION ALL ".join(
+    f"""SELECT '{n}' AS encoder, avg(auc) AS mean, stddev_samp(auc) AS std FROM (SELECT fold, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM
+(SELECT fold, pos, neg, coalesce(sum(neg) OVER (PARTITION BY fold ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT fold, {n} AS z, sum(pos) AS pos, sum(neg) AS neg FROM m GROUP BY 1, 2)) GROUP BY 1)"""
+    for n in ("one_hot", "woe")
+)
+
+
+@query(_SWAP)
+def encoder_swap_folds(s, d):
+    """Mean and deviation of the AUC over five folds, one-hot against evidence of one category.
+
+    A logistic fit on the indicators of one category gives each its rate; both scores of a fold come from the other folds' counts.
+    """
+    rows = split.folds(labelled_orders(s, d), "o_orderkey", "y", 5).select(F.col("o_orderpriority").alias("cat"), "fold", "y", F.col("o_orderkey").alias("id"))
+    t = rows.groupBy("cat", "fold").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    c = t.groupBy("cat").agg(F.sum("p").alias("cp"), F.sum("q").alias("cq"))
+    g = t.groupBy("fold").agg(F.sum("p").alias("gp"), F.sum("q").alias("gq"))
+    a = t.agg(F.sum("p").alias("ap"), F.sum("q").alias("aq"))
+    p, q = F.col("cp") - F.col("p"), F.col("cq") - F.col("q")
+    fitted = t.join(c, "cat").join(g, "fold").join(F.broadcast(a)).select(  # a: one row
+        "cat", "fold", F.round(p / (p + q), 12).alias("one_hot"), F.round(F.log((p / (F.col("ap") - F.col("gp"))) / (q / (F.col("aq") - F.col("gq")))), 12).alias("woe")
+    )
+    scored = rows.join(fitted, ["cat", "fold"]).select("fold", "y", F.inline(F.array(*[F.struct(F.lit(n).alias("encoder"), F.col(n).alias("p")) for n in ("one_hot", "woe")])))
+    areas = metrics.auc(scored, ["encoder", "fold"])
+    return areas.groupBy("encoder").agg(F.avg("auc").alias("mean"), F.stddev_samp("auc").alias("std"))
+
+
+@query("""SELECT c_custkey, balance, errors, errors = '' AS accepted FROM (SELECT c_custkey, balance, nation, concat_ws(',', CASE WHEN balance < -999 OR balance > 9000 THEN 'balance' END, CASE WHEN nation < 0 OR nation > 24 THEN 'nation' END) AS errors
+FROM (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 1000000.0::DOUBLE WHEN 3 THEN NULL ELSE c_acctbal END AS balance,
+CASE c_custkey % 6 WHEN 3 THEN NULL WHEN 4 THEN -1.0::DOUBLE ELSE CAST(c_nationkey AS DOUBLE) END AS nation FROM customer))""")
+def pathological_records(s, d):
+    """Records as text, broken in turn: no number, infinite, out of range, all null, a negative code; what is coerced and what is refused."""
+    k = F.col("c_custkey") % 6
+    text = read(s, d, "customer").select(
+        "c_custkey",
+        F.when(k == 0, "abc").when(k == 1, "Infinity").when(k == 2, "1e6").when(k != 3, F.col("c_acctbal").cast("string")).alias("balance"),
+        F.when(k == 4, "-1").when(k != 3, F.col("c_nationkey").cast("string")).alias("nation"),
+    )
+    rows = text.select("c_custkey", clean.coerce_numeric("balance").alias("balance"), clean.coerce_numeric("nation").alias("nation"))
+    rows = rows.withColumn("errors", clean.contract_errors({"balance": (-999, 9000), "nation": (0, 24)}))
+    return rows.select("c_custkey", "balance", "errors", (F.col("errors") == "").alias("accepted"))
+
+
+@query()
+def best_models(s, d):
+    """The best three of the quick algorithms."""
+    rows = models.as_vectors(_vectors(s, d), "embedding", "y", "vec_id", "fold")
+    return models.best(models.leaderboard(rows, 64, names=("logistic", "tree", "bayes", "svm"), k=2))

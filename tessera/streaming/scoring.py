@@ -12,7 +12,9 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 
 
 def score_stream(stream: DataFrame, p: Column, threshold: float, *keep: str) -> DataFrame:
-    """Stateless: probability, decision, and whether it is fragile. Works on batches as well."""
+    """Stateless: probability, decision, and whether it is fragile. Works on batches as well; the threshold lies between 0 and 1."""
+    if not 0 < threshold < 1:
+        raise ValueError("a threshold lies between 0 and 1")
     return stream.select(*keep, p.alias("p")).select(
         *keep, "p", (F.col("p") >= threshold).cast("int").alias("decision"), (F.abs(F.col("p") - threshold) < 0.05).alias("fragile")
     )
