@@ -53,7 +53,7 @@ def scored(model, df: DataFrame, *keep: str) -> DataFrame:
 
 
 def leaderboard(
-    df: DataFrame, n_features: int, fold: str = "fold", k: int = 5, names: Sequence[str] | None = None, at_once: int = 4
+    df: DataFrame, n_features: int, fold: str = "fold", k: int = 5, names: Sequence[str] | None = None, at_once: int = 8
 ) -> DataFrame:
     """Mean AUC over ``k`` folds of each algorithm, best first; ``at_once`` fits run side by side."""
     chosen = [(n, e) for n, e in candidates(n_features).items() if not names or n in names]
@@ -74,7 +74,7 @@ def best(board: DataFrame, n: int = 3) -> DataFrame:
 
 
 def random_search(
-    train: DataFrame, val: DataFrame, make: Callable[[dict], Estimator], space: dict[str, list], n: int = 50, seed: int = 42, at_once: int = 4
+    train: DataFrame, val: DataFrame, make: Callable[[dict], Estimator], space: dict[str, list], n: int = 50, seed: int = 42, at_once: int = 8
 ) -> DataFrame:
     """``n`` settings drawn by a fixed rule from ``space``; setting -1 is the default, which wins ties."""
     rng = random.Random(seed)

@@ -241,3 +241,77 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_cumulative_equals_running_sums(spark):
+    import random
+
+    from tessera.operators import clean
+
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(20), rng.randrange(5), None if i % 9 == 0 else rng.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k int, a int, v double").repartition(7)
+    got = {r["id"]: (r["sa"], r["sv"]) for r in clean.cumulative(df, [F.desc("k"), F.asc("id")], {"sa": "a", "sv": "v"}).collect()}
+    sa, sv = 0, 0.0
+    for i, _, a, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        assert got[i][0] == sa and got[i][1] == pytest.approx(sv)
+        sa, sv = sa + a, sv + (v or 0.0)
+    assert clean.cumulative(df.where("false"), ["id"], {"s": "a"}).count() == 0
+
+
+def test_rank_plans_have_no_window_over_the_whole_table(spark):
+    from tessera.operators import encode, metrics, profile
+
+    df = spark.createDataFrame([(i, i % 2, i / 7, str(i % 3)) for i in range(50)], "id long, y long, p double, c string")
+    frames = [metrics.auc(df), metrics.average_precision(df), metrics.roc_curve(df), metrics.pr_curve(df), metrics.mid_ranks(df, "p"),
+              metrics.roc_curve_grouped(df), encode.codes(df, "c", "id"), encode.ordered_statistic(df, "c", "y", "id", 0.5), profile.vocabulary(df, "c")]
+    for f in frames:
+        plan = f._jdf.queryExecution().optimizedPlan().toString()
+        assert all(", [_part#" in line or "[_part#" in line for line in plan.split("\n") if line.strip(" :+-").startswith("Window"))
+
+
+def test_encoders_for_new_rows(spark):
+    from tessera.operators import encode
+
+    df = spark.createDataFrame([("a", 1), ("a", 0), ("a", 1), ("b", 0)], "c string, y int")
+    loo, prior = encode.leave_one_out_new(df, "c", "y")
+    assert {r["cat"]: r["loo"] for r in loo.collect()} == pytest.approx({"a": 2 / 3, "b": 0.0}) and prior == 0.5
+    ots, _ = encode.ordered_statistic_new(df, "c", "y", a=1.0)
+    assert {r["cat"]: r["ots"] for r in ots.collect()} == pytest.approx({"a": 2.5 / 4, "b": 0.5 / 2})
+
+
+def test_threshold_parameter_is_checked(spark):
+    from tessera.streaming import scoring
+
+    for t in (0.0, 1.0, -1.0, 2.0):
+        with pytest.raises(ValueError, match="between 0 and 1"):
+            scoring.score_stream(spark.range(1), F.lit(0.5), t)
+
+
+def test_training_by_protocol(spark):
+    import numpy as np
+
+    from tessera.nn import train
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + x[:, 1] > 0.5).astype(int)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(300)], "id long, x array<double>, y int")
+    chosen = train.fit_selected(df.where("id < 200"), df.where("id >= 200"), "x", "y", "id", [2, 8, 1], epochs=6, patience=2, batches=2, lr=0.05, dropout=0.1)
+    best = max(v for *_, v in chosen.history)
+    kept = train.probabilities(df.where("id >= 200"), "x", "y", "id", train.Selected.from_json(chosen.to_json()).model)
+    from tessera.operators import metrics
+
+    assert metrics.auc(kept).first()["auc"] == pytest.approx(best) and best > 0.9 and 0.05 <= chosen.threshold <= 0.95
+    mask = train.dropout_mask(np.arange(20000), 4, 0.3, 5)
+    assert abs((mask == 0).mean() - 0.3) < 0.01 and np.array_equal(mask, train.dropout_mask(np.arange(20000), 4, 0.3, 5))
+
+
+def test_scores_of_odd_arrays(spark):
+    import numpy as np
+
+    from tessera.nn import layers, score
+
+    net = layers.Mlp([layers.Dense(np.ones((2, 1)), np.zeros(1), relu=False)])
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [1.0, 2.0, 3.0])], "id long, x array<double>")
+    assert {r["id"]: r["z"] for r in score.score_arrays(df, "id", "x", net.forward).collect()} == {1: [3.0], 2: None, 3: None, 4: None, 5: None}
