@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, materialize
@@ -13,7 +13,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours and then the
     label of its label, so chains halve and the rounds are as many as the logarithm of the longest
-    chain; every round is one table in the shared folder, whose writing counts the changes.
+    chain; every round is one table in the shared folder, which says of each node whether its label changed.
     Groups are combined before they are shuffled, so a node with very many
     links costs one row per task.
     """
@@ -25,20 +25,21 @@ def connected_components(links: DataFrame) -> DataFrame:
         "edges",
     )
     labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
-    changed, spent = 1, None
+    changed, spent = True, None
     while changed:
         near = edges.join(labels, F.col("u") == F.col("node")).groupBy("v").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("v"), "left").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         far = step.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        seen = Observation()
         jumped = step.join(far, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", "far").alias("label"))
-        jumped = jumped.observe(seen, F.count(F.when(F.col("label") != F.col("old"), 1)).alias("changed"))
-        labels = materialize(jumped.select("node", "label"), "labels")
-        changed = seen.get["changed"]
+        # a column and not an Observation, which would stay in the session, where models that hold the session can't be sent to tasks any more
+        labels = materialize(jumped.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
+        changed = bool(labels.where("moved").head(1))
         if spent is not None:
             discard(spent)
         spent = labels
     discard(edges)
-    return labels
+    kept = labels.select("node", "label")
+    kept.stored_at = labels.stored_at
+    return kept
