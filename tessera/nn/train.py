@@ -105,21 +105,29 @@ def _summed(df: DataFrame, model: Mlp, positive_weight: float, dropout: float =
 
 def _epochs(
     df: DataFrame, features: str, label: str, key: str, widths: list[int], epochs: int, batches: int, lr: float, decay: float,
-    positive_weight: float, dropout: float, seed: int,
+    positive_weight: float, dropout: float, seed: int, normalize: bool = False,
 ) -> Iterator[tuple[Mlp, float]]:
-    """The network, which goes on changing, and its mean loss after each epoch."""
-    model, adam = he_init(widths, seed), Adam(lr, decay)
+    """The network, which goes on changing, and its mean loss after each epoch; with ``normalize``, folded."""
+    from tessera.nn.normalized import Normalized
+
+    model, adam = Normalized.he_init(widths, seed) if normalize else he_init(widths, seed), Adam(lr, decay)
     rows = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64(key).alias("k")).persist()
     try:
         for epoch in range(epochs):
             total, count = 0.0, 0
             for b in range(batches):
                 part = rows.where(F.pmod("k", F.lit(batches)) == b)
+                if normalize:
+                    loss, n, grads = model.step(part, positive_weight, dropout, epoch * batches + b)
+                    if n:
+                        adam.step(model.parameters(), grads)
+                    total, count = total + loss, count + n
+                    continue
                 loss, n, grads = _summed(part, model, positive_weight, dropout, epoch * batches + b)
                 if n:
                     adam.step([p for la in model.layers for p in (la.weights, la.bias)], [g / n for g in grads])
                 total, count = total + loss, count + n
-            yield model, total / max(1, count)
+            yield model.folded() if normalize else model, total / max(1, count)
     finally:
         rows.unpersist()
 
@@ -161,13 +169,13 @@ def probabilities(df: DataFrame, features: str, label: str, key: str, model: Mlp
 
 def fit_selected(
     train: DataFrame, validation: DataFrame, features: str, label: str, key: str, widths: list[int], epochs: int = 40, patience: int = 6,
-    batches: int = 4, lr: float = 1e-3, decay: float = 1e-4, dropout: float = 0.3, seed: int = 42,
+    batches: int = 4, lr: float = 1e-3, decay: float = 1e-4, dropout: float = 0.3, seed: int = 42, normalize: bool = False,
 ) -> Selected:
     """Training by protocol: positives weighted by their rarity, weights kept at each strict gain of the validation AUC, an
     end after ``patience`` epochs without one, and the threshold with the best F1 on validation. Test rows have no part in it."""
     rare = train.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
     best, since, kept, history = None, 0, None, []
-    for model, loss in _epochs(train, features, label, key, widths, epochs, batches, lr, decay, rare[0] / max(1, rare[1]), dropout, seed):
+    for model, loss in _epochs(train, features, label, key, widths, epochs, batches, lr, decay, rare[0] / max(1, rare[1]), dropout, seed, normalize):
         value = metrics.auc(probabilities(validation, features, label, key, model)).first()["auc"]
         if value is None:
             raise ValueError("validation rows of both classes are needed")

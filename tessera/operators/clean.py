@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import quantiles
+from tessera.sources.scratch import stored
+
 
 def finite(col: Column | str) -> Column:
     """NaN and infinities as null."""
@@ -43,8 +46,7 @@ def drop_any_null_or_nan(df: DataFrame) -> DataFrame:
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact medians over values that are not null."""
-    row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+    return dict(quantiles.medians(df, columns))
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,7 +94,7 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> Data
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.persist()  # both uses must see the same range bounds, which are drawn when first computed
+    placed = stored(placed, "placed")  # both uses must see the same range bounds, which are drawn when first computed
     part = F.shiftright("_m", 33)
     sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, rows = 0, []
@@ -116,7 +118,7 @@ def cumulative(df: DataFrame, order_by: Sequence[str | Column], sums: Mapping[st
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order_by).withColumn("_part", F.spark_partition_id())
-    placed = placed.persist()  # both uses must see the same range bounds, which are drawn when first computed
+    placed = stored(placed, "placed")  # both uses must see the same range bounds, which are drawn when first computed
     totals = placed.groupBy("_part").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_before_{name}") for name, c in sums.items()])
     before, rows = [0] * len(sums), []
     for r in sorted(totals.collect(), key=lambda r: r["_part"]):  # one row per partition

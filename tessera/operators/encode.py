@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.clean import cumulative, row_index
+from tessera.operators.quantiles import quantiles
 
 
 def codes(df: DataFrame, col: str, order_by: str | None = None, mapping: Sequence[str] | None = None) -> DataFrame:
@@ -178,8 +179,12 @@ def james_stein(df: DataFrame, col: str, y: str) -> tuple[DataFrame, float | Non
 
 def quantile(df: DataFrame, col: str, value: str, q: float = 0.5, m: float = 0.0) -> tuple[DataFrame, float | None]:
     """``qe``: the quantile of the category's values, drawn toward the global one as if by ``m`` rows."""
-    total = df.agg(F.percentile(value, F.lit(q))).first()[0]
-    rows = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("cat")).agg(F.percentile(value, F.lit(q)).alias("x"), F.count("*").alias("n"))
+    whole = quantiles(df, [value], [q]).first()
+    total = whole["value"] if whole else None
+    known = df.where(F.col(col).isNotNull())
+    rows = known.groupBy(F.col(col).alias("cat")).agg(F.count("*").alias("n"))
+    found = quantiles(known, [value], [q], by=[col]).select(F.col(col).alias("cat"), F.col("value").alias("x"))
+    rows = rows.join(found, "cat", "left")
     return rows.select("cat", ((F.col("x") * F.col("n") + m * F.lit(total)) / (F.col("n") + m)).alias("qe")), total
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.clean import row_index
+from tessera.operators.quantiles import quantiles
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], stats: dict[str, callable], out: str) -> DataFrame:
@@ -44,8 +45,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles, max per column."""
-    q = lambda p: lambda c: F.percentile(F.col(c).cast("double"), F.lit(p))
-    return _per_column(
+    moments = _per_column(
         df,
         columns,
         {
@@ -53,13 +53,13 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "mean": lambda c: F.avg(F.col(c).cast("double")),
             "std": lambda c: F.stddev_samp(F.col(c).cast("double")),
             "min": lambda c: F.min(F.col(c).cast("double")),
-            "q1": q(0.25),
-            "median": q(0.5),
-            "q3": q(0.75),
             "max": lambda c: F.max(F.col(c).cast("double")),
         },
         "column_name",
     )
+    at = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    found = quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("column_name").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+    return moments.join(found, "column_name", "left").select("column_name", "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def describe_category(df: DataFrame, column: str) -> DataFrame:
@@ -105,7 +105,9 @@ def vocabulary(df: DataFrame, column: str) -> DataFrame:
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _per_column(df, columns, {"n_distinct": lambda c: F.countDistinct(c)}, "column_name")
+    """Distinct values per column; pairs of column and value are combined before they are shuffled, and no row is expanded in an aggregate."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(cells)).distinct().groupBy("column_name").agg(F.count("value").alias("n_distinct"))
 
 
 def prevalence(df: DataFrame, y: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_encode, q_flows, q_metrics, q_models, q_sources, q_tables
+from tessera.plans import q_encode, q_flows, q_learn, q_metrics, q_models, q_sources, q_tables
 
-_MODULES = (q_tables, q_metrics, q_encode, q_models, q_sources, q_flows)
+_MODULES = (q_tables, q_metrics, q_encode, q_models, q_sources, q_flows, q_learn)
 
 
 def queries() -> dict:

@@ -141,7 +141,7 @@ def _order_pipeline(s, d):
 @query()
 def encoder_logistic_pipeline(s, d):
     rows, steps = _order_pipeline(s, d)
-    return metrics.auc(models.scored(steps.fit(rows.where("not is_val")), rows.where("is_val")))
+    return metrics.auc(models.fit(steps, rows.where("not is_val")).scored(rows.where("is_val")))
 
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM orders")
@@ -151,7 +151,7 @@ def saved_model_parity(s, d):
     model = steps.fit(rows.where("not is_val"))
     path = files.scratch_path(s, "model")
     model.write().overwrite().save(path)
-    a, b = models.scored(model, rows), models.scored(PipelineModel.load(path), rows).withColumnRenamed("p", "q").drop("y")
+    a, b = models.Fit(model).scored(rows), models.Fit(PipelineModel.load(path)).scored(rows).withColumnRenamed("p", "q").drop("y")
     return a.join(b, "id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("p") - F.col("q")) > 1e-12).alias("n_different"))
 
 
@@ -167,7 +167,7 @@ def refit_on_all(s, d):
 def boosting_baseline(s, d):
     rows, steps = _order_pipeline(s, d)
     gbt = Pipeline(stages=[steps.getStages()[0], GBTClassifier(featuresCol="x", labelCol="y", maxIter=3, maxDepth=3, seed=1)])
-    return metrics.auc(models.scored(gbt.fit(rows.where("not is_val")), rows.where("is_val")))
+    return metrics.auc(models.fit(gbt, rows.where("not is_val")).scored(rows.where("is_val")))
 
 
 @query(f"SELECT id, p FROM ({SCORES_SQL}) WHERE abs(p - 0.25{_D}) < 0.05{_D}")

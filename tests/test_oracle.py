@@ -12,7 +12,8 @@ from tessera.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-SLOW = {"model_leaderboard", "random_search"}  # dozens of fits: by their own test on fewer
+#: Dozens of fits: run by tests/test_learn.py on fewer.
+SLOW = {"model_leaderboard", "random_search"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
