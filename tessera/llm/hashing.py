@@ -39,8 +39,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: Longer spans are hashed in blocks: a polynomial modulo a power of two has fixed collisions, those of Thue-Morse strings, from some 512 places on.
+BLOCK = 128
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """``S`` such that ``(S[j] - S[i]) * inverse_power[i]`` is the hash of bytes i to j."""
+    """``S`` such that ``(S[j] - S[i]) * inverse_power[i]`` is a sum of bytes i to j, each times a power by its place from i."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=out[1:])
@@ -48,8 +52,19 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of any length: of the polynomial sums of up to ``BLOCK`` places, chained by a mix that is not linear."""
+    starts, ends = np.asarray(starts), np.asarray(ends)
     _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    stop = np.minimum(ends, starts + BLOCK)
+    h = mix((sums[stop] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    live = np.flatnonzero(stop < ends)
+    at = stop[live]
+    while len(live):
+        stop = np.minimum(ends[live], at + BLOCK)
+        h[live] = mix(h[live] * _U(0x9FB21C651E98DF25) + mix((sums[stop] - sums[at]) * down[at] + _U(BLOCK)))
+        more = stop < ends[live]
+        live, at = live[more], stop[more]
+    return h
 
 
 def text_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

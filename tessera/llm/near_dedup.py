@@ -41,8 +41,9 @@ _U = np.uint64
 SMALL_BUCKET = 6
 #: Shingles of the members, and of the askers, that meet in one task.
 BLOCK_SHINGLES = 1 << 18
-#: Columns of the task's incidence matrix that are held at a time.
-MATRIX_COLUMNS = 2048
+#: Pairs of the inverted index that a task looks at side by side, and shingles of such pairs that it compares.
+PAIRS = 1 << 18
+COMPARED = 1 << 21
 
 
 def super_min_hash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -177,7 +178,9 @@ def near_duplicates(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
+    # a set links with another one only if it can lose a shingle and still reach the similarity
+    able = classes.where(F.col("n_shingles") * F.lit(den - num) >= F.lit(num))
+    members = able.select("node", "n_shingles", F.explode("keys").alias("key"))
     # the centre: the smallest node in an order of the bucket's own
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("c")).where("n > 1")
     # a table and not an aggregate below the join, so that adaptive execution may split a hot bucket's members
@@ -303,14 +306,7 @@ def _joining(num: int, den: int):
     def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
         asks = [g for g in group if g[3]]
         members = [g for g in group if not g[3]]
-        if not asks or not members:
-            return [], []
-        both = _intersections([g[6] for g in asks], [g[6] for g in members])
-        size_a, size_m = (np.array([len(g[6]) for g in x]) for x in (asks, members))
-        linked = den * both >= num * (size_a[:, None] + size_m[None, :] - both)
-        label_a, label_m = (np.array([g[5] for g in x]) for x in (asks, members))
-        linked &= label_a[:, None] != label_m[None, :]
-        root: dict[int, int] = {}
+        a, b, root = [], [], {}
 
         def find(x: int) -> int:
             while root.setdefault(x, x) != x:
@@ -318,16 +314,15 @@ def _joining(num: int, den: int):
                 x = root[x]
             return x
 
-        a, b = [], []
-        for i in np.flatnonzero(linked.any(axis=1)).tolist():
-            # one link to each component that the asker meets
-            there, one = np.unique(label_m[linked[i]], return_index=True)
-            for label, k in zip(there.tolist(), np.flatnonzero(linked[i])[one].tolist(), strict=True):
-                x, y = find(int(label_a[i])), find(label)
-                if x != y:
-                    root[x] = y
-                    a.append(min(asks[i][4], members[k][4]))
-                    b.append(max(asks[i][4], members[k][4]))
+        if not asks or not members:
+            return a, b
+        label_a, label_m = (np.array([g[5] for g in x]) for x in (asks, members))
+        for i, k in _similar([g[6] for g in asks], [g[6] for g in members], label_a, label_m, find, num, den):
+            x, y = find(int(label_a[i])), find(int(label_m[k]))
+            if x != y:
+                root[x] = y
+                a.append(min(asks[i][4], members[k][4]))
+                b.append(max(asks[i][4], members[k][4]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,28 +345,58 @@ def _joining(num: int, den: int):
     return run
 
 
-def _intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set of ``one`` with every set of ``two``: products of incidence matrices."""
-    flat = np.concatenate([*one, *two])
-    owner = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in [*one, *two]])
-    known, column = np.unique(flat, return_inverse=True)
-    asked = np.zeros(len(known), bool)
-    asked[column[owner < len(one)]] = True
-    met = np.zeros(len(known), bool)
-    met[column[owner >= len(one)]] = True
-    number = np.cumsum(asked & met) - 1
-    used = (asked & met)[column]
-    owner, column = owner[used], number[column[used]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(one), len(two)), np.float32)  # counts below 2**24 are exact
-    last = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, last, MATRIX_COLUMNS):
-        part = slice(*np.searchsorted(column, [lo, lo + MATRIX_COLUMNS]))
-        there = np.zeros((len(one) + len(two), min(MATRIX_COLUMNS, last - lo)), np.float32)
-        there[owner[part], column[part] - lo] = 1
-        out += there[: len(one)] @ there[len(one) :].T
-    return out.astype(np.int64)
+def _similar(
+    one: list[np.ndarray], two: list[np.ndarray], label_a: np.ndarray, label_m: np.ndarray, find, num: int, den: int
+) -> Iterator[tuple[int, int]]:
+    """The pairs (place in ``one``, place in ``two``) of different components with ``den * intersection >= num * union``.
+
+    ``find`` tells the components as they are when a run of pairs is looked at, so pairs that a link before has joined are left out.
+    """
+    n = len(one)
+    sizes = np.array([len(s) for s in [*one, *two]], np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, token, often = np.unique(np.concatenate([*one, *two]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    token = rank[token]
+    by = np.lexsort((token, owner))
+    owner, token = owner[by], token[by]
+    first = np.cumsum(sizes) - sizes
+    # sets that link share at least ceil(size * num / den) shingles, so one of the rarest of the others and one more
+    prefix = np.arange(len(owner)) - first[owner] < (sizes - -(-sizes * num // den) + 1)[owner]
+    asked, met = prefix & (owner < n), np.flatnonzero(prefix & (owner >= n))
+    met = met[np.argsort(token[met], kind="stable")]
+    probe = np.flatnonzero(asked)
+    lo, hi = np.searchsorted(token[met], token[probe], "left"), np.searchsorted(token[met], token[probe], "right")
+    cost = np.cumsum(hi - lo)
+    width, keys = len(often), owner * np.int64(len(often)) + token  # ascending
+    at = 0
+    while at < len(probe):
+        to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PAIRS, "right")))
+        many = (hi - lo)[at:to]
+        total = int(many.sum())
+        x = np.repeat(owner[probe[at:to]], many)
+        y = owner[met[np.repeat(lo[at:to] - np.cumsum(many) + many, many) + np.arange(total)]]
+        at = to
+        small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+        fits = den * small >= num * large
+        pairs = np.unique(x[fits] * np.int64(len(sizes)) + y[fits])
+        x, y = pairs // len(sizes), pairs % len(sizes)
+        step = max(1, COMPARED // max(1, int(sizes[:n].max())))
+        for part in range(0, len(x), step):
+            u, v = x[part : part + step], y[part : part + step]
+            known = {k: find(k) for k in {*label_a[u].tolist(), *label_m[v - n].tolist()}}
+            apart = np.array([known[p] != known[q] for p, q in zip(label_a[u].tolist(), label_m[v - n].tolist(), strict=True)], bool)
+            u, v = u[apart], v[apart]
+            if not len(u):
+                continue
+            upto = np.cumsum(sizes[u])
+            own = token[np.repeat(first[u] - upto + sizes[u], sizes[u]) + np.arange(int(upto[-1]))]
+            key = np.repeat(v, sizes[u]) * np.int64(width) + own
+            spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            both = np.add.reduceat(keys[spot] == key, upto - sizes[u])
+            linked = den * both >= num * (sizes[u] + sizes[v] - both)
+            yield from zip(u[linked].tolist(), (v[linked] - n).tolist(), strict=True)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def _signed(x: int) -> int:
 
 
 def shards(codes: DataFrame, radius: int, max_shard: int) -> list[DataFrame]:
-    """Tables mask, value, code: the codes whose bits under ``mask`` are ``value``, all shards of two or more, none unbounded."""
+    """Tables mask, value, code: the codes whose bits under ``mask`` are ``value``; no shard is unbounded."""
     spark, parts = codes.sparkSession, radius + 1
     masks, done = [0], []
     open_codes = codes.select(F.lit(0).cast("long").alias("mask"), "code")
@@ -95,15 +95,13 @@ def shards(codes: DataFrame, radius: int, max_shard: int) -> list[DataFrame]:
         dealt = dealt.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
         if len(masks) > 1:
             dealt = dealt.distinct()  # two ways of cutting may lead to one shard
-        sizes = dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = materialize(sizes, "sizes")
-        own = dealt.join(sizes.where(F.col("n") <= max_shard), ["mask", "value"]).select("mask", "value", "code")
+        sizes = dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > max_shard)
+        large = materialize(sizes.select("mask", "value"), "large")  # fewer than codes x segments / max_shard
         masks = sorted({m for f in finer.values() for m in f})
-        settled = all(1 << (BITS - m.bit_count()) <= max_shard for m in masks)
-        done.append(own)
-        if settled or not sizes.where(F.col("n") > max_shard).head(1):
-            return done
-        open_codes = materialize(dealt.join(sizes.where(F.col("n") > max_shard), ["mask", "value"]).select("mask", "code"), "open")
+        if not large.head(1) or all(1 << (BITS - m.bit_count()) <= max_shard for m in masks):
+            return [*done, dealt]
+        done.append(dealt.join(large, ["mask", "value"], "left_anti"))
+        open_codes = materialize(dealt.join(large, ["mask", "value"], "left_semi").select("mask", "code"), "open")
 
 
 class Forest:

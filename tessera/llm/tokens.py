@@ -43,7 +43,7 @@ class UnitEncoder:
 
     A unit begins at each space that a character follows which is surely no white space. There a
     token begins too: white space in front of such a space is a token of its own. Units are
-    told apart by 64-bit hashes, found for a whole batch at once.
+    found by 64-bit hashes for a whole batch at once, and their bytes are compared: a unit that has only the hash of another is encoded on its own.
     """
 
     def __init__(self, name: str = DEFAULT_TOKENIZER, max_cached: int = 4_000_000):
@@ -65,6 +65,8 @@ class UnitEncoder:
     def _forget(self) -> None:
         self._known, self._at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, place in the pool
         self._count, self._pool = np.zeros(0, np.int32), np.zeros(0, self.dtype)
+        # the units' bytes, in the order of the hashes: where they start in the store, and how many
+        self._from, self._size, self._bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
         """Encode new units, many plain ones as one text whose ids are cut where a unit opens."""
@@ -93,6 +95,11 @@ class UnitEncoder:
         self._known = known[by]
         self._at = np.concatenate([self._at, at])[by]
         self._count = np.concatenate([self._count, counts.astype(np.int32)])[by]
+        raw = [u.encode("utf-8", "surrogatepass") for u in units]
+        size = np.array([len(r) for r in raw], np.int64)
+        self._from = np.concatenate([self._from, len(self._bytes) + np.cumsum(size) - size])[by]
+        self._size = np.concatenate([self._size, size])[by]
+        self._bytes = np.concatenate([self._bytes, np.frombuffer(b"".join(raw), np.uint8)])
 
     def encode(self, column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets of its texts' ids) of runs of texts; null is empty."""
@@ -150,12 +157,28 @@ class UnitEncoder:
             a, b = starts[one[new]].tolist(), ends[one[new]].tolist()
             self._learn(distinct[new], [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(a, b, strict=True)])
             place = np.searchsorted(self._known, distinct)
-        at, count = self._at[place][which], self._count[place][which].astype(np.int64)
+        place = place[which]
+        at, count, pool = self._at[place], self._count[place].astype(np.int64), self._pool
+        for i in self._others(data, starts, ends, place).tolist():
+            own = self._tokenizer.encode(data[starts[i] : ends[i]].tobytes().decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+            at[i], count[i] = len(pool), len(own)
+            pool = np.concatenate([pool, np.array(own, self.dtype)])
         total = np.cumsum(count)
-        ids = self._pool[np.repeat(at - (total - count), count) + np.arange(int(total[-1]))]
+        ids = pool[np.repeat(at - (total - count), count) + np.arange(int(total[-1]))]
         before = np.append(0, total)
         return ids, before[np.searchsorted(starts, offsets)]
 
+    def _others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The units whose bytes differ from those of the known unit with their hash."""
+        size = ends - starts
+        fits = size == self._size[place]
+        known = np.repeat(self._from[place] - starts, np.where(fits, size, 0)) + (np.arange(len(data)) if fits.all() else np.flatnonzero(np.repeat(fits, size)))
+        own = data if fits.all() else data[np.repeat(fits, size)]
+        wrong = np.flatnonzero(self._bytes[known] != own)
+        inside = np.flatnonzero(fits)
+        upto = np.cumsum(size[inside])
+        return np.union1d(np.flatnonzero(~fits), inside[np.searchsorted(upto, wrong, "right")])
+
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> UnitEncoder:

@@ -116,10 +116,11 @@ def test_near_duplicates(docs, rows, k, num, den):
 
 
 def test_near_duplicates_large_buckets(spark, monkeypatch):
-    """A family of near copies, some linked only through others, with tiny buckets, blocks and matrices."""
+    """A family of near copies, some linked only through others, with tiny buckets, blocks and runs of pairs."""
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
-    monkeypatch.setattr(near_dedup, "MATRIX_COLUMNS", 50)
+    monkeypatch.setattr(near_dedup, "PAIRS", 50)
+    monkeypatch.setattr(near_dedup, "COMPARED", 300)
     rng, words = random.Random(5), vocabulary()
     base = [rng.choice(words) for _ in range(120)]
     rows = []
