@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+
 def log1p_clipped(x: Column | str) -> Column:
     """log(1 + x), negative values as 0."""
     return F.log1p(F.greatest(_c(x), F.lit(0.0)))
@@ -26,13 +37,13 @@ def sigmoid(z: Column | str) -> Column:
 def softmax(z: Column | str) -> Column:
     """Of an array; the maximum is subtracted first."""
     z = _c(z)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    e = bound(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    return bound(e, lambda v: bound(_total(v), lambda total: F.transform(v, lambda x: x / total)))
 
 
 def log_sum_exp(z: Column | str) -> Column:
     z = _c(z)
-    return F.array_max(z) + F.log(F.aggregate(F.transform(z, lambda x: F.exp(x - F.array_max(z))), F.lit(0.0), lambda a, b: a + b))
+    return bound(F.array_max(z), lambda top: top + F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
 
 
 def cross_entropy(z: Column | str, y: Column | str) -> Column:
@@ -94,6 +105,24 @@ def crop_padded(pixels: Column | str, width: int, height: int, dx: Column, dy: C
     return F.transform(p, at)
 
 
+def rotated(pixels: Column | str, width: int, degrees: Column) -> Column:
+    """A square image turned by ``degrees`` about its middle: the nearest pixel, 0 outside."""
+    p, c = _c(pixels), (width - 1) / 2
+
+    def turned(way: Column) -> Column:
+        def at(i: Column) -> Column:
+            x, y = i % width - c, F.floor(i / width) - c
+            col = F.rint(way["cos"] * x + way["sin"] * y + c).cast("int")
+            row = F.rint(way["cos"] * y - way["sin"] * x + c).cast("int")
+            inside = col.between(0, width - 1) & row.between(0, width - 1)
+            return F.when(inside, F.get(p, F.when(inside, row * width + col).otherwise(0)).cast("double")).otherwise(0.0)
+
+        return F.when(p.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(width * width - 1)), at))
+
+    angle = F.radians(degrees)
+    return bound(F.struct(F.cos(angle).alias("cos"), F.sin(angle).alias("sin")), turned)
+
+
 def hash_fraction(seed: int, key: Column | str) -> Column:
     """A number in [0, 1) that depends on seed and key alone."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), _c(key).cast("string"))), 1, 8), 16, 10).cast("long")

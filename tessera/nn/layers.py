@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Products in the expression of one output.
+MAX_NODES = 5_000
+
+
 @dataclass
 class Dense:
     """``relu(scale * (x W) + shift)`` with folded batch normalization, or without activation."""
@@ -39,7 +43,15 @@ class Mlp:
         return x
 
     def columns(self, inputs: list[Column]) -> list[Column]:
-        """The output of the last layer as arithmetic on columns; for narrow networks, stays in generated code."""
+        """The output of the last layer as arithmetic on columns; for narrow networks, stays in generated code.
+
+        A unit repeats the expressions of the units below it, so a network of more than ``MAX_NODES`` products is refused: score it in batches.
+        """
+        nodes = 1
+        for layer in self.layers:
+            nodes = (nodes + 1) * layer.weights.shape[0]
+        if nodes > MAX_NODES:
+            raise ValueError(f"{nodes} products are too many for one expression; use score_arrays")
         values = inputs
         for layer in self.layers:
             out = []

@@ -143,6 +143,61 @@ def fit(
     return model, history
 
 
+def fit_local(
+    df: DataFrame, features: str, label: str, key: str, widths: list[int], epochs: int = 5, batch: int = 16, workers: int = 1, lr: float = 5e-3,
+    decay: float = 1e-3, positive_weight: float = 1.0, dropout: float = 0.0, seed: int = 42,
+) -> tuple[Mlp, list[float]]:
+    """Training in small batches: local steps inside tasks, averaged after each epoch.
+
+    One Spark job for each 16 rows can't scale, so rows are dealt by a hash of the key to ``workers`` tasks, each of which goes through its rows in the
+    epoch's hash order, ``batch`` at a time, from the common parameters and Adam moments. Then parameters and moments are averaged,
+    weighted by rows, and the next epoch starts from these. One worker is plain training in batches; more take as many
+    steps each as they have batches, so an epoch of w workers is w times fewer steps in a row. A worker holds its share of the rows, so ``workers`` grows with the table.
+    """
+    model, state, history = he_init(widths, seed), None, []
+    params = [p for la in model.layers for p in (la.weights, la.bias)]
+    cuts = np.cumsum([0, *[p.size for p in params]])
+    size, steps = int(cuts[-1]), 0
+    rows = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64(key).alias("k"))
+    for epoch in range(epochs):
+        start = (model.to_json(), state, steps)
+
+        def run(batches: Iterator[pa.RecordBatch], start: tuple = start, epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+            own, held, t = Mlp.from_json(start[0]), start[1], start[2]
+            adam = Adam(lr, decay)
+            mine = [p for la in own.layers for p in (la.weights, la.bias)]
+            if held is not None:
+                adam.t, adam.m, adam.v = t, *([v[a:b].reshape(p.shape).copy() for a, b, p in zip(cuts, cuts[1:], mine, strict=False)] for v in held)
+            parts = [(matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+            if not parts:
+                return
+            x, y, k = (np.concatenate(v) for v in zip(*parts, strict=True))
+            loss, n = 0.0, len(x)
+            for lo in range(0, n, batch):
+                part = slice(lo, lo + batch)
+                value, grads = gradients(own, x[part], y[part], positive_weight, k[part], dropout, epoch)
+                adam.step(mine, [g / len(x[part]) for g in grads])
+                loss += value
+            out = np.concatenate([[n, loss, n * (adam.t - t)], *[n * v.ravel() for group in (mine, adam.m, adam.v) for v in group]])
+            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["m"])
+
+        order = F.xxhash64(F.lit(epoch), F.col("k"))
+        dealt = rows.repartition(workers, F.pmod(F.col("k"), F.lit(workers))).sortWithinPartitions(order, "k")
+        sums = dealt.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        total = np.zeros(3 + 3 * size)
+        for r in sums.collect():  # three times the parameters
+            total[r["i"]] = r["v"]
+        if not total[0]:
+            break
+        mean = total[3:] / total[0]
+        for a, b, p in zip(cuts, cuts[1:], params, strict=False):
+            p[...] = mean[a:b].reshape(p.shape)
+        state = (mean[size : 2 * size], mean[2 * size :])
+        steps += max(1, round(total[2] / total[0]))
+        history.append(float(total[1] / total[0]))
+    return model, history
+
+
 @dataclass
 class Selected:
     """The best network on validation rows, the threshold found there, and (epoch, loss, validation AUC) of every epoch."""

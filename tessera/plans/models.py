@@ -163,15 +163,9 @@ def soft_vote(models: Sequence, df: DataFrame) -> DataFrame:
     return out.select("id", "y", mean.alias("p"))
 
 
-def xor_table(spark) -> DataFrame:
-    return spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.0, 1.0, 1.0), (2, 1.0, 0.0, 1.0), (3, 1.0, 1.0, 0.0)], "id long, x1 double, x2 double, y double")
-
-
-def xor_demo(spark, seeds: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
-    """How many of the four rows a linear model and one with a hidden layer (best of some seeds) get right."""
-    df = xor_table(spark).select("id", "y", array_to_vector(F.array("x1", "x2")).alias("x")).persist()
-    right = lambda e: fit(e, df).model.transform(df).where("prediction = y").count()
-    linear = right(LogisticRegression(featuresCol="x", labelCol="y"))
-    hidden = max(right(MultilayerPerceptronClassifier(layers=[2, 4, 2], featuresCol="x", labelCol="y", seed=s, maxIter=200)) for s in seeds)
-    df.unpersist()
-    return spark.createDataFrame([("linear", linear), ("hidden", hidden)], "model string, n_right long")
+def xor_fit(df: DataFrame, seeds: Sequence[int] = (1, 2, 3, 4, 5)) -> tuple[Fit, Fit]:
+    """For rows (id, x, y) whose class is the exclusive or of two features: a linear model, and of some networks with a hidden layer the one that is right most often."""
+    right = lambda m: m.model.transform(df).where("prediction = y").count()
+    linear = fit(LogisticRegression(featuresCol="x", labelCol="y"), df)
+    hidden = [fit(MultilayerPerceptronClassifier(layers=[2, 4, 2], featuresCol="x", labelCol="y", seed=s, maxIter=200), df) for s in seeds]
+    return linear, max(hidden, key=right)

@@ -5,14 +5,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.learn import moments, neighbours, stumps
-from tessera.nn import convolution, normalized
+from tessera.learn import attribution, moments, neighbours, stumps
+from tessera.nn import convolution, layers, normalized, score, train
 from tessera.operators import metrics, quantiles, split
-from tessera.plans import models
+from tessera.plans import models, q_models
 from tessera.plans.frames import HOLED_SQL, ORDERS_SQL, holed_customers, labelled_orders, read
 from tessera.prep.folded import FoldedSetup
-from tessera.sources import files, infer
+from tessera.sources import bundle, files, images, infer
 from tessera.sources.scratch import stored
+from tessera.streaming import latency, scoring
 
 QUERIES: dict = {}
 _D = "::DOUBLE"
@@ -134,9 +135,7 @@ def grouped_quantiles(s, d):
 def normalized_training(s, d):
     """A network with batch normalization over the whole protocol's rows: loss of each step on all rows, and the parameters' number."""
     rows = stored(read(s, d, "embeddings").select(F.col("embedding").alias("x"), (F.col("label") > 4).cast("double").alias("y"), F.col("vec_id").alias("k")))
-    from tessera.nn.train import Adam
-
-    net, adam, out = normalized.Normalized.he_init([64, 16, 8, 1]), Adam(0.01, 1e-4), []
+    net, adam, out = normalized.Normalized.he_init([64, 16, 8, 1]), train.Adam(0.01, 1e-4), []
     for step in range(6):
         loss, n, grads = net.step(rows, dropout=0.1, salt=step)
         adam.step(net.parameters(), grads)
@@ -227,3 +226,100 @@ def convolution_training(s, d):
     z = convolution.outputs(rows.where("held"), "k", "x", net).join(rows.select("k", "y"), "k")
     right = z.agg(F.avg((F.array_position("z", F.array_max("z")) - 1 == F.col("y")).cast("double"))).first()[0]
     return s.createDataFrame([*[(f"epoch {i}", v) for i, v in enumerate(history)], ("accuracy", right)], "step string, value double")
+
+
+@query(f"SELECT vec_id, z, CAST(1 / (1 + exp(-z)) >= 0.4{_D} AS INTEGER) AS decision, 'v000002' AS version FROM ({q_models._mlp_sql()})")
+def bundle_scores(s, d):
+    """A network written as a bundle, not replaced by a worse one, amended with a threshold, opened again, and every vector scored by it."""
+    base = files.scratch_path(s, "bundle")
+    e = read(s, d, "embeddings")
+    net = q_models._mlp()
+    examples = [[float(v) for v in r["embedding"]] for r in e.orderBy("vec_id").limit(5).select("embedding").collect()]
+    logits = net.forward(np.array(examples))[:, 0]
+    bundle.save_if_better(s, base, {"model.json": net.to_json()}, 0.8, examples=list(zip(examples, logits, strict=True)))
+    bundle.save_if_better(s, base, {"model.json": "{}"}, 0.7)
+    bundle.amend(s, base, 0.4)
+    held = bundle.current(s, base)
+    again = layers.Mlp.from_json(held.files["model.json"])
+    held.parity(again.forward(np.array([x for x, _ in held.examples]))[:, 0].tolist())
+    z = F.col("z")[0]
+    out = score.score_arrays(e, "vec_id", "embedding", again.forward)
+    return out.select("vec_id", F.round(z, 9).alias("z"), (1 / (1 + F.exp(-z)) >= held.threshold).cast("int").alias("decision"), F.lit(held.version).alias("version"))
+
+
+_GRAY = "CAST(floor(abs(CAST(embedding[r * 8 + c + 1] AS DOUBLE)) * 255) AS BIGINT) % 256"
+
+
+@query(f"""WITH p AS (SELECT vec_id, r, c, 255 - {_GRAY} AS v FROM embeddings, range(8) a(r), range(8) b(c) WHERE vec_id % 10 = 0)
+SELECT vec_id, 'inverted' AS form, CAST(r * 8 + c AS INTEGER) AS place, CAST(v AS DOUBLE) AS value FROM p
+UNION ALL SELECT vec_id, 'half', CAST((r // 2) * 4 + c // 2 AS INTEGER), avg(CAST(v AS DOUBLE)) FROM p GROUP BY vec_id, r // 2, c // 2""")
+def image_files(s, d):
+    """Every tenth vector as a PNG, read by Spark's image source: all pixels inverted, and at half the size."""
+    e = read(s, d, "embeddings").where("vec_id % 10 = 0")
+    px = F.transform("embedding", lambda x: (F.floor(F.abs(x.cast("double")) * 255) % 256).cast("int"))
+    path = files.scratch_path(s, "png")
+    images.write_pngs(e.select("vec_id", px.alias("px")), path, "vec_id", "px", 8)
+    found = images.read_images(s, path)
+    found = found.select(
+        F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long").alias("vec_id"), images.inverted(images.gray(F.col("data"), F.col("channels"))).alias("px"), "width", "height"
+    )
+    found = stored(found)  # pixels once for both forms
+    whole = found.select("vec_id", F.lit("inverted").alias("form"), F.posexplode("px").alias("place", "v"))
+    half = found.select("vec_id", F.lit("half").alias("form"), F.posexplode(images.resized(F.col("px"), F.col("width"), F.col("height"), 4)).alias("place", "v"))
+    return whole.select("vec_id", "form", "place", F.col("v").cast("double").alias("value")).unionByName(half.select("vec_id", "form", "place", F.col("v").alias("value")))
+
+
+@query()
+def small_batch_training(s, d):
+    """Orders by two features in batches of 16 rows on four workers: the loss of each epoch."""
+    rows = _pairs(s, d).select("id", "x", "y")
+    _, history = train.fit_local(rows, "x", "y", "id", [2, 8, 1], epochs=4, workers=4)
+    return s.createDataFrame(list(enumerate(history)), "epoch int, loss double")
+
+
+@query(f"""WITH r AS (SELECT ts, floor(value * 7) AS ms FROM events), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, avg(ms) AS mean_ms, quantile_disc(ms, 0.95) AS tail_ms, max(ms) AS max_ms FROM r GROUP BY 1)
+SELECT window_start, n, round(mean_ms, 6) AS mean_ms, CAST(tail_ms AS DOUBLE) AS tail_ms, CAST(max_ms AS DOUBLE) AS max_ms FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM r) - INTERVAL 10 MINUTE""")
+def latency_stream(s, d):
+    """Requests whose score comes some milliseconds after their arrival, as a file stream: the windows that are closed when all is read."""
+    e = read(s, d, "events")
+    scored = F.col("ts") + F.make_dt_interval(secs=(F.floor(F.col("value") * 7) / 1000).cast("decimal(18,6)"))
+    copy, out, at = (files.scratch_path(s, n) for n in ("requests", "windows", "state"))
+    e.select("ts", scored.alias("scored")).write.parquet(copy)
+    stream = scoring.file_stream(s, copy, s.read.parquet(copy).schema, files_per_batch=10_000)
+    windows = latency.latency_windows(stream, "ts", "scored")
+    latency.run_available(windows, out, at)
+    return s.read.schema(windows.schema).parquet(out).withColumns({"mean_ms": F.round("mean_ms", 6), "window_start": F.col("window_start").cast("timestamp_ntz")})
+
+
+@query("SELECT o_orderkey AS id, true AS adds_up FROM orders")
+def forest_attributions(s, d):
+    """Attribution values of a forest on two features of orders: base and values add up to the forest's own probability in every row."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = stored(_pairs(s, d))
+    vectors = rows.select("id", array_to_vector("x").alias("x"), F.col("y").cast("double").alias("y"))
+    model = models.fit(RandomForestClassifier(numTrees=5, maxDepth=3, featuresCol="x", labelCol="y", seed=7), vectors)
+    phi = attribution.attributed(rows, attribution.paths_of(attribution.node_table(model.model, s)), "id")
+    total = F.aggregate("phi", F.col("base"), lambda a, v: a + v)
+    p = model.scored(vectors).select("id", "p")
+    return phi.select("id", total.alias("total")).join(p, "id").select("id", (F.abs(F.col("total") - F.col("p")) < 1e-9).alias("adds_up"))
+
+
+@query()
+def training_ablations(s, d):
+    """The training protocol with one part left out at a time: validation AUC and loss of the best epoch of three."""
+    e = split.folds(read(s, d, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") > 6).cast("long").alias("y")), "vec_id", "y", 5)
+    rows = stored(e)
+    known, validation = rows.where("fold > 1"), rows.where("fold = 1")
+    whole = {"widths": [64, 16, 1], "epochs": 3, "batches": 2, "lr": 5e-3, "dropout": 0.2, "normalize": True}
+    changes = {
+        "whole": {}, "no normalization": {"normalize": False}, "no dropout": {"dropout": 0.0}, "no decay": {"decay": 0.0}, "a quarter of the units": {"widths": [64, 4, 1]}, "a tenth of the rate": {"lr": 5e-4},
+    }
+    out = []
+    for name, change in changes.items():
+        setting = {**whole, **change}
+        history = train.fit_selected(known, validation, "x", "y", "vec_id", setting.pop("widths"), **setting).history
+        _, loss, auc = max(history, key=lambda h: h[2])
+        out.append((name, auc, loss))
+    return s.createDataFrame(out, "variant string, auc double, loss double")

@@ -6,10 +6,12 @@ import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -72,73 +74,30 @@ def parse_lines(lines: DataFrame, schema: StructType | str, sep: str = ",", miss
     return lines.where("line <> '' and not startswith(line, '|')").select(F.from_csv("line", ddl, options).alias("r")).select("r.*")
 
 
-def read_gray_images(spark: SparkSession, path: str) -> DataFrame:
-    """Binary PGM images as ``path``, ``width``, ``height``, ``pixels`` (0..255); files that don't decode carry ``error``."""
+def write_binary(df: DataFrame, path: str) -> int:
+    """Each row's ``content`` as a file ``name`` below ``path``, written by the tasks; how many."""
 
-    def decode(raw: bytes) -> tuple[int, int, list[int]]:
-        parts = raw.split(None, 4)
-        if parts[0] != b"P5":
-            raise ValueError("not a binary PGM image")
-        w, h, top = int(parts[1]), int(parts[2]), int(parts[3])
-        head = raw.index(parts[3], raw.index(parts[2], raw.index(parts[1], 2) + len(parts[1])) + len(parts[2])) + len(parts[3]) + 1
-        px = np.frombuffer(raw, np.uint8, w * h, head).astype(np.int64) * 255 // top
-        return w, h, px.tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows.append((name, *decode(content), None))
-                except (ValueError, IndexError) as e:
-                    rows.append((name, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "pixels", "error"]).astype({"width": "Int32", "height": "Int32"})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, width int, height int, pixels array<long>, error string")
-
-
-def encode_gray_image(pixels: Sequence[int], width: int) -> bytes:
-    return f"P5\n{width} {len(pixels) // width}\n255\n".encode() + bytes(pixels)
-
-
-def resize_bilinear(df: DataFrame, key: str, pixels: str, width: int, to: int) -> DataFrame:
-    """Square images at a new size, bilinear between pixel centres."""
-
-    @F.pandas_udf("array<double>")
-    def resized(column: pd.Series) -> pd.Series:
-        def one(px):
-            if px is None:
-                return None
-            image = np.asarray(px, float).reshape(-1, width)
-            at = np.clip((np.arange(to) + 0.5) * width / to - 0.5, 0, width - 1)
-            lo = np.floor(at).astype(int)
-            hi, f = np.minimum(lo + 1, width - 1), at - lo
-            rows = image[lo] * (1 - f)[:, None] + image[hi] * f[:, None]
-            return (rows[:, lo] * (1 - f) + rows[:, hi] * f).ravel().tolist()
-
-        return column.map(one)
-
-    return df.select(key, resized(pixels).alias("pixels"))
+    return df.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def rotate(df: DataFrame, key: str, pixels: str, width: int, degrees: str) -> DataFrame:
-    """Square images turned by ``degrees`` (a column), nearest pixel, 0 outside."""
+def write_zips(lines: DataFrame, path: str, member: str, head: str = "") -> None:
+    """The column ``line`` as zip archives, one for each Arrow batch of rows, each with one member."""
 
-    @F.pandas_udf("array<double>")
-    def turned(column: pd.Series, angle: pd.Series) -> pd.Series:
-        c = (width - 1) / 2
-        y, x = np.mgrid[0:width, 0:width] - c
-        out = []
-        for px, a in zip(column, np.deg2rad(angle), strict=True):
-            if px is None:
-                out.append(None)
-                continue
-            image = np.asarray(px, float).reshape(width, width)
-            sx = np.rint(np.cos(a) * x + np.sin(a) * y + c).astype(int)
-            sy = np.rint(-np.sin(a) * x + np.cos(a) * y + c).astype(int)
-            ok = (sx >= 0) & (sx < width) & (sy >= 0) & (sy < width)
-            out.append(np.where(ok, image[np.clip(sy, 0, width - 1), np.clip(sx, 0, width - 1)], 0.0).ravel().tolist())
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(member, head + "\n".join(batch.column(0).to_pylist()))
+                z.writestr("other.data", "0, none")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.zip"]), pa.array([raw.getvalue()], pa.binary())], names=["name", "content"])
 
-    return df.select(key, turned(pixels, degrees).alias("pixels"))
+    write_binary(lines.select("line").mapInArrow(run, "name string, content binary"), path)

@@ -7,17 +7,18 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tessera.learn import moments, neighbours, stumps
+from tessera.learn import attribution, moments, neighbours, stumps
 from tessera.nn import convolution, normalized, train
 from tessera.operators import clean, encode, profile, quantiles
 from tessera.plans import models
 from tessera.prep.folded import FoldedSetup
-from tessera.sources import infer
+from tessera.sources import bundle, images, infer
+from tessera.streaming import latency, scoring
 
 VALUES = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.2250738585072009e-308, 1.0, math.nextafter(1.0, 0), math.nextafter(1.0, 2), 1e308, 1.7976931348623157e308,
           math.nextafter(1.7976931348623157e308, 0), math.inf, -math.inf, math.nan, 1e-300, -3.5, 8.0, math.nextafter(8.0, 0), 2.0**52, 2.0**53 + 2]
@@ -316,3 +317,134 @@ def test_training_moves_the_loss(spark):
     df = spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "k long, x array<double>, y int").select("x", "y", "k")
     history = convolution.fit(df, convolution.Convolutional.he_init((8, 8, 1), [2, 3, 4], 2), epochs=6)
     assert history[-1] < 0.7 * history[0]
+
+
+def test_bundle(spark, tmp_path):
+    base = f"file://{tmp_path}/models"
+    assert bundle.current(spark, base) is None
+    assert bundle.save_if_better(spark, base, {"model.json": "[1]", "prep.json": "{}"}, 0.7, examples=[([1.0], 0.25)]) == ("v000001", True)
+    assert bundle.save_if_better(spark, base, {"model.json": "[2]"}, 0.7) == ("v000001", False)
+    assert bundle.save_if_better(spark, base, {"model.json": "[3]"}, 0.9, examples=[([1.0], 0.5)]) == ("v000002", True)
+    assert bundle.amend(spark, base, 0.3) == "v000003"
+    held = bundle.current(spark, base)
+    assert (held.files, held.metric, held.threshold, held.examples) == ({"model.json": "[3]"}, 0.9, 0.3, [([1.0], 0.5)])
+    assert bundle.open_version(spark, base, "v000001").files["prep.json"] == "{}"
+    assert held.parity([0.50001]) < 1e-4
+    with pytest.raises(ValueError, match="scores its examples otherwise"):
+        held.parity([0.51])
+    # an unfinished version is not opened, and a changed file is noticed
+    (tmp_path / "models" / "v000009").mkdir()
+    with pytest.raises(ValueError, match="no finished bundle"):
+        bundle.open_version(spark, base, "v000009")
+    assert bundle.save(spark, base, {"a": "b"}) == "v000010"
+    bundle.Folder(spark, base).write("v000010/a", "c")
+    with pytest.raises(ValueError, match="not the file"):
+        bundle.current(spark, base)
+    with pytest.raises(ValueError, match="no name"):
+        bundle.save(spark, base, {"manifest.json": "x"})
+
+
+def test_images(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    grey, colour = rng.integers(0, 256, (5, 7)), rng.integers(0, 256, (4, 6, 3))
+    (tmp_path / "g.png").write_bytes(images.png(grey))
+    (tmp_path / "c.png").write_bytes(images.png(colour))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    path = f"file://{tmp_path}"
+    rows = images.read_images(spark, path).withColumn("px", images.gray(F.col("data"), F.col("channels")))
+    rows = rows.withColumn("small", images.resized(F.col("px"), F.col("width"), F.col("height"), 3))
+    found = {r.path.rsplit("/", 1)[1]: r for r in rows.collect()}
+    assert set(found) == {"g.png", "c.png"} and found["g.png"].px == grey.ravel().tolist()
+    mixed = np.floor((colour @ np.array([299, 587, 114]) + 500) / 1000).astype(int)
+    assert found["c.png"].px == mixed.ravel().tolist()
+    for name, image in (("g.png", grey), ("c.png", mixed)):
+        h, w = image.shape
+        r, c = (np.clip((np.arange(3) + 0.5) * n / 3 - 0.5, 0, n - 1) for n in (h, w))
+        r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
+        r1, c1 = np.minimum(r0 + 1, h - 1), np.minimum(c0 + 1, w - 1)
+        fr, fc = (r - r0)[:, None], c - c0
+        want = (image[r0][:, c0] * (1 - fc) + image[r0][:, c1] * fc) * (1 - fr) + (image[r1][:, c0] * (1 - fc) + image[r1][:, c1] * fc) * fr
+        assert np.allclose(found[name].small, want.ravel())
+    assert [r.path.rsplit("/", 1)[1] for r in images.unreadable(spark, path).collect()] == ["bad.png"]
+
+
+def test_small_batches_equal_one_process(spark):
+    x, y = two_classes(70)
+    df = labelled(spark, (x - 50).round(3), y, 5)
+    model, history = train.fit_local(df, "x", "y", "id", [3, 4, 1], epochs=3, dropout=0.2)
+    keys = {r.id: r.k for r in df.select("id", F.xxhash64("id").alias("k")).collect()}
+    orders = [[r.id for r in df.select("id", F.xxhash64(F.lit(e), F.xxhash64("id")).alias("h")).orderBy("h").collect()] for e in range(3)]
+    net, adam, want = train.he_init([3, 4, 1]), train.Adam(5e-3, 1e-3), []
+    params = [p for la in net.layers for p in (la.weights, la.bias)]
+    for e, order in enumerate(orders):
+        loss = 0.0
+        for lo in range(0, 70, 16):
+            own = order[lo : lo + 16]
+            value, grads = train.gradients(net, (x - 50).round(3)[own], y[own].astype(float), 1.0, np.array([keys[i] for i in own]), 0.2, e)
+            adam.step(params, [g / len(own) for g in grads])
+            loss += value
+        want.append(loss / 70)
+    assert np.allclose(history, want) and all(np.allclose(a.weights, b.weights) for a, b in zip(model.layers, net.layers, strict=True))
+
+
+def test_small_batches_on_workers(spark):
+    x, y = two_classes(120)
+    df = labelled(spark, (x - 50) / 3, y, 5)
+    _, history = train.fit_local(df, "x", "y", "id", [3, 6, 1], epochs=6, workers=3, lr=0.02)
+    again = train.fit_local(df.repartition(2), "x", "y", "id", [3, 6, 1], epochs=6, workers=3, lr=0.02)[1]
+    assert np.allclose(history, again) and history[-1] < history[0]
+    assert train.fit_local(df.where("false"), "x", "y", "id", [3, 6, 1], epochs=2)[1] == []
+
+
+def test_late_requests_are_counted(spark, tmp_path):
+    source, out, at = (f"file://{tmp_path}/{n}" for n in ("in", "out", "at"))
+
+    def arrive(rows):
+        df = spark.createDataFrame(rows, "t string, ms long").select(F.to_timestamp("t").alias("ts"), "ms")
+        df.select("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("ms") * 1000).alias("scored")).coalesce(1).write.mode("append").parquet(source)
+        windows = latency.latency_windows(scoring.file_stream(spark, source, spark.read.parquet(source).schema), "ts", "scored")
+        return latency.run_available(windows, out, at)
+
+    day = "2024-01-01 "
+    assert arrive([(day + "00:05:00", 10), (day + "00:10:00", 30), (day + "00:20:00", -5), (day + "02:30:00", 7)]) == latency.Run(4, 0)
+    # the first window is closed: this row comes too late, the other one opens a new window
+    assert arrive([(day + "00:15:00", 1000), (day + "05:00:00", 1)]).n_late == 1
+    found = [(str(r.window_start), r.n, r.mean_ms, r.tail_ms, r.max_ms) for r in spark.read.parquet(out).orderBy("window_start").collect()]
+    assert found == [("2024-01-01 00:00:00", 2, 20.0, 30.0, 30.0), ("2024-01-01 02:00:00", 1, 7.0, 7.0, 7.0)]
+
+
+def test_attributions_equal_enumeration(spark):
+    x, y = two_classes(200, 3)
+    x = x.round(2)
+    df = labelled(spark, x, y).select("id", array_to_vector("x").alias("x"), F.col("y").cast("double").alias("y"))
+    forest = RandomForestClassifier(numTrees=3, maxDepth=3, featuresCol="x", labelCol="y", seed=1).fit(df)
+    nodes = attribution.node_table(forest, spark)
+    trees = {}
+    for r in nodes.collect():
+        trees.setdefault(r.tree, {})[r.id] = r
+
+    def given(tree, at, row, known):
+        """The tree's mean prediction where only the known features decide."""
+        n = tree[at]
+        if n.left < 0:
+            return n.positive
+        if n.feature in known:
+            return given(tree, n.left if row[n.feature] <= n.threshold else n.right, row, known)
+        return sum(tree[c].cover / n.cover * given(tree, c, row, known) for c in (n.left, n.right))
+
+    def mean(row, known):
+        return sum(given(t, 0, row, known) for t in trees.values()) / len(trees)
+
+    found = {r.id: r for r in attribution.attributed(df.withColumn("x", vector_to_array("x")), attribution.paths_of(nodes), "id").collect()}
+    p = {r.id: r.p for r in models.Fit(forest).scored(df).collect()}
+    for i in range(0, 200, 23):
+        want = [0.0] * 3
+        for j in range(3):
+            others = [f for f in range(3) if f != j]
+            for s in ([], others[:1], others[1:], others):
+                weight = math.factorial(len(s)) * math.factorial(2 - len(s)) / 6
+                want[j] += weight * (mean(x[i], {*s, j}) - mean(x[i], set(s)))
+        assert np.allclose(found[i].phi, want) and found[i].base == pytest.approx(mean(x[i], set()))
+    assert all(r.base + sum(r.phi) == pytest.approx(p[i], abs=1e-9) for i, r in found.items())
+    ranked = attribution.mean_magnitude(spark.createDataFrame([([0.1, -0.5],), ([0.2, 0.1],)], "phi array<double>")).collect()
+    assert [r.feature for r in ranked] == [1, 0]
