@@ -8,10 +8,10 @@ n-grams within it.
 The automaton.  A state is a context; an arc (state, word) carries the discounted
 log-probability and leads to the longest context that the text then ends in; the
 failure arc of a state carries its backoff weight and leads to the state without its
-first word.  At the root every word has its smoothed unigram probability.  The state before
-a token is the longest kept n-gram that ends there, so all tokens of a block take their arcs at once.
+first word.  At the root every word has its smoothed unigram probability.  All texts of a block walk
+through it from left to right in step, each with its own state; a state without an arc for the next word takes failure arcs until one has it.
 
-No task holds the model.  Each block deals the sorted hashes of its own distinct n-grams out to buckets by
+No task holds the model: a block builds the states and arcs that its own n-grams can reach.  Each block deals the sorted hashes of its own distinct n-grams out to buckets by
 their first bits.  A bucket adds up the blocks' counts and answers each block in the order of its
 hashes; the first block that has an n-gram owns it.  Owners add the n-gram's
 probability, and that of the same word after the shorter context, to the sums of its context, which are dealt out
@@ -19,7 +19,8 @@ and answered with the context's backoff weight in the same way.  Buckets grow in
 
 Cases: null and empty texts are the end token alone; a null id counts as training;
 rows with equal ids are scored one by one; an empty table gives an empty result; without training
-tokens every token is unknown; further columns are ignored.  Words and n-grams are told apart by 64-bit hashes.
+tokens every token is unknown; further columns are ignored.  A very long text is one block, and so one task's memory, and is walked in
+segments.  Words and n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from tessera.llm.hashing import mix, text_chunks, word_hashes
 END = np.uint64(1)
 BLOCK_TOKENS = 3 << 20
 BUCKET_TOKENS = 4 << 20
+#: Tokens of a text that are walked in one go; more are walked side by side.
+SEGMENT = 4096
 DISCOUNT = 0.5
 _BLOCK = "block long, doc_ids array<long>, held_out array<boolean>, lengths array<long>, words array<long>, tokens binary"
 _DEALT = "bucket int, block long, size int, keys binary, first binary, second binary"
@@ -212,17 +215,92 @@ class Block:
     def contexts(self, n: int) -> np.ndarray:
         return np.flatnonzero(self.n[n - 1] > 0)
 
-    def score(self, answers: pa.Table) -> np.ndarray:
-        """Log10 probability of each token: along its arc, or by failure arcs from its state."""
-        out = np.log10(self.p(1, np.arange(self.size)))
-        for n in range(2, len(self.n)):
-            backoff = np.zeros(len(self.n[n - 1]))
-            backoff[self.contexts(n)] = _answered(answers, -n, np.float64)
-            at = self.at[n]
-            out[at] += backoff[self.place[n - 1][at - 1]]
-            arc = at[self.n[n][self.place[n][at]] > 0]
-            out[arc] = np.log10(self.p(n, arc))
-        return out
+    def automaton(self, answers: pa.Table) -> Automaton:
+        """The part of the automaton that this block's texts can reach."""
+        state = [np.zeros(1, np.int64)]  # of each order's n-grams: their state, 0 (the root) where there is none
+        fail, weight, made = [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        arcs = []
+        for n in range(1, len(self.n)):
+            known = self.n[n] > 0
+            last = np.zeros(len(known), np.int64)
+            last[self.place[n][self.at[n]]] = self.at[n]  # a token that ends the n-gram: its parts end there or one before
+            own = np.zeros(len(known), np.int64)
+            if n < len(self.n) - 1:
+                own[known] = made + np.arange(int(known.sum()))
+                made += int(known.sum())
+                fail.append(np.zeros(int(known.sum()), np.int64) if n == 1 else state[n - 1][self.place[n - 1][last[known]]])
+                weight.append(_answered(answers, -n - 1, np.float64))
+            if n > 1:
+                at = last[known]
+                source = state[n - 1][self.place[n - 1][at - 1]]
+                # the longest context that the text ends in after the arc: the n-gram itself, or, of full length, without its first word
+                target = own[known] if n < len(self.n) - 1 else state[n - 1][self.place[n - 1][at]]
+                arcs.append((source, self.place[1][at].astype(np.int64), np.log10(self.p(n, at)), target))
+            state.append(own)
+        start = np.zeros(len(self.n[1]), np.int64)
+        start[self.place[1][self.at[1]]] = self.at[1]
+        parts = [np.concatenate(x) for x in zip(*arcs, strict=True)] if arcs else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)]
+        return Automaton(np.concatenate(fail), np.concatenate(weight), *parts, np.log10(self.p(1, start)), state[1] if len(self.n) > 2 else np.zeros(len(start), np.int64))
+
+
+class Automaton:
+    """States with arcs (source, word) of a log probability to a target, and a failure arc each; the root, 0, has an arc for every word."""
+
+    def __init__(self, fail, weight, source, word, log_p, target, root_p, root_target):
+        self.fail, self.weight, self.root_p, self.root_target = fail, weight, root_p, root_target
+        self.words = np.int64(len(root_p))
+        key = source * self.words + word
+        by = np.argsort(key)
+        self.key, self.log_p, self.target = key[by], log_p[by], target[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log probabilities of a word each, by failure arcs where a state has no arc for it, and the states after it."""
+        out, after, open_ = np.zeros(len(state)), np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(open_):
+            at_root = state[open_] == 0
+            own = open_[at_root]
+            out[own] += self.root_p[word[own]]
+            after[own] = self.root_target[word[own]]
+            open_ = open_[~at_root]
+            if not len(open_):
+                break
+            asked = state[open_] * self.words + word[open_]
+            spot = np.minimum(np.searchsorted(self.key, asked), max(0, len(self.key) - 1))
+            there = self.key[spot] == asked if len(self.key) else np.zeros(len(open_), bool)
+            own = open_[there]
+            out[own] += self.log_p[spot[there]]
+            after[own] = self.target[spot[there]]
+            open_ = open_[~there]
+            out[open_] += self.weight[state[open_]]
+            state = state.copy()
+            state[open_] = self.fail[state[open_]]
+        return out, after
+
+    def score(self, words: np.ndarray, lengths: np.ndarray, warm: int, longest: int = SEGMENT) -> np.ndarray:
+        """The log probability of each text: one traversal from left to right, all texts in step.
+
+        A long text is walked in segments side by side. A state knows no more than the last ``warm`` words, so a segment starts that many earlier
+        at the root and is in the text's own state when its count begins.
+        """
+        pieces = -(-lengths // longest)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = (np.cumsum(lengths) - lengths)[text]
+        count_from = begin + nth * longest
+        stop = np.minimum(count_from + longest, begin + lengths[text])
+        at = np.maximum(begin, count_from - warm)
+        by = np.argsort(at - stop, kind="stable")  # the longest first, so that those under way are a prefix
+        at, stop, count_from = at[by], stop[by], count_from[by]
+        total, state = np.zeros(len(at)), np.zeros(len(at), np.int64)
+        live = len(at)
+        while live:
+            while live and at[live - 1] >= stop[live - 1]:
+                live -= 1
+            part = slice(0, live)
+            log_p, state[part] = self.step(state[part], words[at[part]])
+            total[part] += np.where(at[part] >= count_from[part], log_p, 0.0)
+            at[part] += 1
+        return np.bincount(text[by], total, len(lengths))
 
 
 def _freed(df: DataFrame, name: str) -> DataFrame:
@@ -245,7 +323,7 @@ def score(
     folds: int = 10,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """Scores of all texts under the model of those whose ``crc32(id as text) mod folds`` is not 0."""
+    """Scores of all texts under the model of those whose ``crc32(id as text) mod folds`` is not 0; ``mean_score`` is the score of a token."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
     blocks = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out")).mapInArrow(
@@ -319,17 +397,18 @@ def score(
                         "n_known": pa.array(np.add.reduceat(block.n[1][block.place[1]] > 0, cuts, dtype=np.int64)),
                         "train_tokens": pa.array(np.full(len(lengths), n_tokens)),
                         "base_score": pa.array(np.add.reduceat(np.log10(block.p(1, every)), cuts)),
-                        "score": pa.array(np.add.reduceat(block.score(right), cuts)),
+                        "score": pa.array(block.automaton(right).score(block.place[1].astype(np.int64), lengths, order - 1)),
                     }
                 )
             )
         return pa.concat_tables(made)
 
-    return answered(
+    scored = answered(
         counted.unionByName(weights),
         run,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
+    return scored.withColumn("mean_score", F.col("score") / F.col("n_tokens"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ so a damaged payload is an error and not a wrong record.
 
 All steps are DataFrame expressions.  The payload table is made by a group-by
 that keeps one copy per digest, with map-side combination, so a page that a
-third of the table repeats costs one row per task.
+third of the table repeats costs one row per task.  A page of any length is one row.
 
 Cases: a null payload is written as the empty payload and so shares its digest; rows with a
 null key are kept (they sort first as record keys); equal keys with equal
@@ -164,7 +164,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive ``pages``, read the archive back and report every record."""
+    """Archive ``pages``, read the archive back and report every record, with the SHA-256 of its exact bytes.
+
+    A key that is no whole number comes back as a null page_id here; ``read_archive`` has it as text.
+    """
     path = new_path(spark, "archive")
     write_archive(table(spark, sf_dir, "pages"), path)
     back = read_archive(spark, path)
@@ -177,16 +180,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("payload_digest"),
         "record_type",
         F.expr("try_cast(refers_to as bigint)").alias("refers_to"),
+        F.sha2("record", 256).alias("record_sha256"),
     )
 
 
 OP2_SQL = """
 WITH r AS (
-  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h,
-         sha256(coalesce(html, '')) AS k
+  SELECT page_id, coalesce(html, '') AS html, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS uri,
+         octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, sha256(coalesce(html, '')) AS k
   FROM pages
 ), d AS (
-  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, k,
+  SELECT page_id, html, uri, CAST(payload_bytes AS BIGINT) AS payload_bytes, k,
          translate(upper(
            to_base(CAST('0x' || substr(h, 1, 10) AS BIGINT), 32, 8) || to_base(CAST('0x' || substr(h, 11, 10) AS BIGINT), 32, 8) ||
            to_base(CAST('0x' || substr(h, 21, 10) AS BIGINT), 32, 8) || to_base(CAST('0x' || substr(h, 31, 10) AS BIGINT), 32, 8)),
@@ -196,6 +200,13 @@ WITH r AS (
 )
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to,
+       sha256(array_to_string(list_filter([
+         'WARC/1.1', 'WARC-Type: ' || CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END, 'WARC-Record-ID: <urn:page:' || page_id || '>',
+         'WARC-Target-URI: ' || uri, 'WARC-Date: 1970-01-01T00:00:00Z', 'WARC-Payload-Digest: sha1:' || payload_digest, 'X-Payload-Length: ' || payload_bytes,
+         CASE WHEN page_id <> first_id THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+         CASE WHEN page_id <> first_id THEN 'WARC-Refers-To: <urn:page:' || first_id || '>' END,
+         'Content-Type: text/html', 'Content-Length: ' || CASE WHEN page_id = first_id THEN payload_bytes ELSE 0 END, '',
+         CASE WHEN page_id = first_id THEN html ELSE '' END || chr(13) || chr(10), ''], lambda x: x IS NOT NULL), chr(13) || chr(10))) AS record_sha256
 FROM d
 """

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_operators import WORD, corpus, empty, frame
 
-from tessera.llm import centroids, phrases, simhash_dedup
+from tessera.llm import centroids, ngram_lm, phrases, simhash_dedup, warc_store
 
 DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -255,7 +255,7 @@ def test_partial_distances_keep_ties():
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize(("query", "sql"), [(phrases.op12_phrases, phrases.OP12_SQL), (centroids.op13_centroids, centroids.OP13_SQL)])
+@pytest.mark.parametrize(("query", "sql"), [(warc_store.op2_warc, warc_store.OP2_SQL), (phrases.op12_phrases, phrases.OP12_SQL), (centroids.op13_centroids, centroids.OP13_SQL)])
 def test_queries_equal_sql(spark, query, sql):
     con = duckdb.connect()
     for f in os.listdir(DIR):
@@ -264,3 +264,24 @@ def test_queries_equal_sql(spark, query, sql):
     cursor = con.execute(sql)
     names = [x[0] for x in cursor.description]
     assert sorted(map(tuple, found.select(*names).collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("longest", [3, 7, 4096])
+def test_automaton_in_segments(longest):
+    """Bigram states: each text's sum equals a walk of its own, wherever it is cut."""
+    rng = np.random.default_rng(longest)
+    n_words, lengths = 6, np.array([1, 40, 0, 13, 7, 90])
+    pairs = np.array([(s, w) for s in range(1, n_words) for w in range(n_words) if rng.random() < 0.5])
+    root_p, weight, log_p = rng.normal(-2, 1, n_words), np.append(0, rng.normal(-1, 1, n_words - 1)), rng.normal(-1, 1, len(pairs))
+    root_target = np.arange(n_words)  # the last word is known but no context: 0 stands for the root there
+    machine = ngram_lm.Automaton(np.zeros(n_words, np.int64), weight, pairs[:, 0], pairs[:, 1], log_p, root_target[pairs[:, 1]], root_p, root_target)
+    arcs = {tuple(p): v for p, v in zip(pairs.tolist(), log_p, strict=True)}
+    words, want, at = rng.integers(0, n_words, lengths.sum()), [], 0
+    for n in lengths:
+        state, total = 0, 0.0
+        for w in words[at : at + n].tolist():
+            total += arcs[state, w] if (state, w) in arcs else weight[state] + root_p[w]
+            state = w
+        at += n
+        want.append(total)
+    assert np.allclose(machine.score(words, lengths, 1, longest), want)
