@@ -590,7 +590,7 @@ def test_merge_orders_shards_and_gives_common_prefixes():
             assert common[4 + i] == shared
 
 
-def reference_scores(rows, folds=10, theta_word=1e-5, theta_gram=1e-6):
+def reference_scores(rows, folds=10, theta_word=1e-5, theta_gram=1e-6, least=2):
     import math
 
     toks = {i: [*lower((t or "").encode()).split(), None] for i, t in rows}
@@ -598,11 +598,11 @@ def reference_scores(rows, folds=10, theta_word=1e-5, theta_gram=1e-6):
     c = collections.Counter(w for i in toks if not held[i] for w in toks[i])
     n = sum(c.values())
     z = n + 0.1 * (len(c) + 1)
-    lex = {w for w, k in c.items() if k >= max(2, theta_word * n)}
+    lex = {w for w, k in c.items() if k >= max(least, theta_word * n)}
 
     def grams(size, ok):
         g = collections.Counter(tuple(x[i : i + size]) for d, x in toks.items() if not held[d] for i in range(len(x) - size + 1) if ok(tuple(x[i : i + size])))
-        return {a: b for a, b in g.items() if b >= max(2, theta_gram * n)}
+        return {a: b for a, b in g.items() if b >= max(least, theta_gram * n)}
 
     g2 = grams(2, lambda t: t[0] in lex and t[1] in lex)
     g3 = grams(3, lambda t: t[:2] in g2 and t[1:] in g2)
@@ -632,9 +632,10 @@ def reference_scores(rows, folds=10, theta_word=1e-5, theta_gram=1e-6):
     }
 
 
-def test_language_model(spark, docs, rows):
-    want = reference_scores(rows)
-    got = {r["doc_id"]: r for r in ngram_lm.score(docs, block_tokens=700).collect()}
+@pytest.mark.parametrize("least", [1, 2])
+def test_language_model(spark, docs, rows, least):
+    want = reference_scores(rows, least=least)
+    got = {r["doc_id"]: r for r in ngram_lm.score(docs, min_count=least, block_tokens=700).collect()}
     assert len(got) == len(rows)
     for i, (held, n, known, total, base, score) in want.items():
         r = got[i]
@@ -648,7 +649,7 @@ def test_language_model_grows_with_the_corpus(spark):
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(3000))) for i in range(100)]
     rows += [(i, f"rare{i // 2} pair{i // 2} once{i}") for i in range(100, 140)]
     want = reference_scores(rows, theta_word=0, theta_gram=0)
-    got = {r["doc_id"]: r for r in ngram_lm.score(frame(spark, rows), block_tokens=50_000).collect()}
+    got = {r["doc_id"]: r for r in ngram_lm.score(frame(spark, rows), min_count=2, block_tokens=50_000).collect()}
     for i, (*_, base, score) in want.items():
         assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and got[i]["score"] == pytest.approx(score, rel=1e-9)
 
