@@ -1,8 +1,8 @@
 """N-gram language model as a weighted backoff automaton.
 
 Training.  Documents become blocks of a few million tokens: a dictionary of the
-block's distinct words and the tokens as places in it.  Every n-gram that occurs in the training texts, or with ``min_count`` that
-many times or more, belongs to the model, at every size of corpus: so do then the n-grams within it.
+block's distinct words and the tokens as places in it.  Every n-gram that occurs ``min_count`` times or more in the training texts belongs to the
+model, at every size of corpus: so do then the n-grams within it.  With 1 held-out texts score better, at three times the shuffle.
 
 The automaton.  A state is a context; an arc (state, word) carries the discounted
 log-probability and leads to the longest context that the text then ends in; the
@@ -318,7 +318,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 3,
-    min_count: int = 1,
+    min_count: int = 2,
     folds: int = 10,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
