@@ -1,6 +1,6 @@
 """N-gram language model as a weighted backoff automaton.
 
-Training.  Documents become blocks of about a million tokens: a dictionary of the
+Training.  Documents become blocks of about two million tokens: a dictionary of the
 block's distinct words and the tokens as places in it.  Every n-gram that occurs ``min_count`` times or more in the training texts belongs to the
 model, at every size of corpus: so do then the n-grams within it.  With 1 held-out texts score better, at three times the shuffle.
 
@@ -36,7 +36,7 @@ from tessera.llm.common import materialize, spread, table
 from tessera.llm.hashing import mix, text_chunks, word_hashes
 
 END = np.uint64(1)
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 2 << 20
 BUCKET_TOKENS = 4 << 20
 #: Tokens of a text that are walked in one go; more are walked side by side.
 SEGMENT = 4096
