@@ -92,7 +92,7 @@ def shards(codes: DataFrame, radius: int, max_shard: int) -> list[DataFrame]:
         # masks of one level: the number of segments to the power of the level
         cuts = spark.createDataFrame([(_signed(m), [_signed(x) for x in f]) for m, f in finer.items()], "mask long, finer array<long>")
         dealt = open_codes.join(F.broadcast(cuts), "mask").select(F.explode("finer").alias("mask"), "code")
-        dealt = dealt.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
+        dealt = dealt.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code")  # in the order that _joined() reads
         if len(masks) > 1:
             dealt = dealt.distinct()  # two ways of cutting may lead to one shard
         sizes = dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > max_shard)

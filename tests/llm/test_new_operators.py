@@ -64,6 +64,18 @@ def test_simhash_equals_brute_force(spark, rows):
     assert simhash_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_simhash_links_near_fingerprints(spark):
+    rng = random.Random(8)
+    words = [rng.choice(["a", "b", "c", "d", "e"]) + str(rng.randrange(60)) for _ in range(400)]
+    rows = [(i, " ".join(w if rng.random() > 0.003 else "X" for w in words)) for i in range(60, 0, -1)] + [(99, "Other words")]
+    want = expected_groups(rows)
+    codes = collections.defaultdict(set)
+    for _, code, component in want:
+        codes[component].add(code)
+    assert max(map(len, codes.values())) > 5  # groups that only links between different fingerprints make
+    assert sorted(map(tuple, simhash_dedup.near_duplicates(frame(spark, rows)).collect()), key=repr) == want
+
+
 def test_long_text_in_slices():
     text = " ".join(random.Random(5).choices(["one", "two", "three", "four", "five"], k=40_000))
     assert simhash_dedup.fingerprint(text) == fingerprint(text)
