@@ -31,16 +31,18 @@ from tessera.llm.common import materialize, spread, table, tasks_for
 from tessera.llm.tokens import DEFAULT_TOKENIZER, END_ID, encoder
 
 WIDTH = 1024
+#: Units that a worker's encoder keeps, and bytes of text that it encodes at a time: workers outlive their tasks, and what they hold adds to the memory of later stages.
+CACHED, ENCODED_BYTES = 500_000, 1 << 20
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, width: int) -> DataFrame:
     """``doc_id``, ``doc_tokens`` and the crc32 of each piece: ``full`` (array) and ``rest`` (of ``rest_len`` ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, CACHED)
         end = np.array([END_ID], "<u4")
         for batch in batches:
-            for lo, found, offsets in enc.encode(batch.column(1)):
+            for lo, found, offsets in enc.encode(batch.column(1), ENCODED_BYTES):
                 n, full, rest, rest_crc = [], [], [], []
                 wide, at = found.astype("<u4"), offsets.tolist()
                 for a, b in zip(at, at[1:]):
