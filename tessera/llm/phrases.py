@@ -2,9 +2,9 @@
 
 1.  A text is lower-cased (ASCII), cut into pieces at punctuation and line ends, and these into words. Every word starts a suffix of its piece,
     truncated to ``max_n`` words.
-2.  What can't be frequent isn't shuffled: a first pass counts word pairs in a table of ``1 << sketch_bits`` saturating bytes a task; slices of
-    them are added up by slice. A pair whose place holds less than ``min_count`` occurs less often, so a suffix is cut in front of it. That loses
-    nothing, as each part of a frequent phrase is frequent. The bits, one per place, are broadcast: their size is fixed by the parameter.
+2.  What can't be frequent isn't shuffled: a first pass counts words and word pairs in a table of ``1 << sketch_bits`` saturating bytes a task; slices of
+    them are added up by slice. A pair whose place holds less than ``min_count`` occurs less often, so a suffix is cut in front of it; a suffix of one such
+    word goes. That loses nothing, as each part of a frequent phrase is frequent. The bits, one per place, are broadcast: their size is fixed by the parameter.
 3.  Equal suffixes of a run of texts are one row with a count, so a hot word is a row per run and not per occurrence. The rows are
     dealt out in ranges of (language, suffix) and sorted in reverse: words of a hot first word, and a hot phrase, spread over as many tasks as their rows fill.
 4.  One pass with a stack: all rows with the same first n words follow each other, so a stack of ``max_n`` open prefixes, of which those that the next row
@@ -34,7 +34,7 @@ from tessera.llm.hashing import mix, text_chunks
 _U = np.uint64
 #: Bytes of text whose equal suffixes become one row.
 RUN_BYTES = 8 << 20
-#: Places of the pair table that travel in one row.
+#: Places of the table of words and pairs that travel in one row.
 SLICE = 1 << 16
 #: How many parts a language's phrases are ranked in before the last ranking.
 RANK_PARTS = 64
@@ -47,6 +47,10 @@ _CLASS[[0x20, 0x09]] = 1
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 
+#: Masks of the first 0 to 8 bytes of a number.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+
+
 class Words:
     """The words of a run of texts: ``data`` with one space behind each, where they start and end there, and how many follow in the piece."""
 
@@ -77,19 +81,26 @@ class Words:
             same[: max(0, n - i)] = piece[: max(0, n - i)] == piece[i:]
             self.follow += same
 
-    def places(self, salt: np.ndarray, bits: int) -> np.ndarray:
-        """For each word that another follows, the place of the pair in a table of ``1 << bits``; equal pairs of a language have equal places."""
-        h = np.zeros(len(self.starts), _U)
-        length = self.ends - self.starts
-        for i in range(0, int(length.max(initial=0)), 8):
-            part = np.zeros(len(h), _U)
-            for j in range(i, min(i + 8, int(length.max()))):
-                on = length > j
-                part[on] |= self.data[self.starts[on] + j].astype(_U) << _U(8 * (j - i))
-            live = length > i
-            h[live] = mix(h[live] * _U(0x9FB21C651E98DF25) + part[live])
+    def places(self, salt: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word, and of the pair of each word that another follows, in a table of ``1 << bits``.
+
+        Equal words, and equal pairs, of a language have equal places.
+        """
+        h, live, at = np.zeros(len(self.starts), _U), np.arange(len(self.starts)), self.starts
+        data = np.append(self.data, np.zeros(8, np.uint8))
+        size = self.ends - self.starts
+        while len(live):  # eight bytes of each word that has more
+            part = np.zeros(len(live), _U)
+            for j in range(8):
+                part |= data[at + j].astype(_U) << _U(8 * j)
+            part &= _FIRST_BYTES[np.minimum(size, 8)]
+            h[live] = mix(h[live] * _U(0x9FB21C651E98DF25) + part)
+            more = size > 8
+            live, at, size = live[more], at[more] + 8, size[more] - 8
         pair = np.flatnonzero(self.follow > 0)
-        return (mix(h[pair] * _U(0xD6E8FEB86659FD93) + h[pair + 1] + salt[self.text[pair]]) >> _U(64 - bits)).astype(np.int64)
+        salt = salt[self.text]
+        place = lambda x: (mix(x) >> _U(64 - bits)).astype(np.int64)
+        return place(h * _U(0xC2B2AE3D27D4EB4F) + salt), place(h[pair] * _U(0xD6E8FEB86659FD93) + h[pair + 1] + salt[pair])
 
 
 def _salts(langs: pa.Array) -> np.ndarray:
@@ -97,15 +108,16 @@ def _salts(langs: pa.Array) -> np.ndarray:
 
 
 def _pair_tables(bits: int, max_n: int, enough: int):
-    """Of each task the table of its pair counts, up to ``enough``, in compressed slices (place, counts)."""
+    """Of each task the table of its word and pair counts, up to ``enough``, in compressed slices (place, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             for lo, data, offsets in text_chunks(batch.column(1), RUN_BYTES):
                 langs = _salts(batch.column(0).slice(lo, len(offsets) - 1))
-                place, n = np.unique(Words(data, offsets, max_n).places(langs, bits), return_counts=True)
-                counts[place] = np.minimum(counts[place] + np.minimum(n, enough), enough)
+                for places in Words(data, offsets, max_n).places(langs, bits):
+                    place, n = np.unique(places, return_counts=True)
+                    counts[place] = np.minimum(counts[place] + np.minimum(n, enough), enough)
         for at in range(0, len(counts), SLICE):
             part = counts[at : at + SLICE]
             if part.any():
@@ -145,9 +157,9 @@ def _suffixes(frequent, bits: int, max_n: int):
             for lo, data, offsets in text_chunks(batch.column(1), RUN_BYTES):
                 langs = batch.column(0).slice(lo, len(offsets) - 1)
                 words = Words(data, offsets, max_n)
-                place = words.places(_salts(langs), bits)
+                often, pairs = (known[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1 for p in words.places(_salts(langs), bits))
                 on = np.zeros(len(words.starts) + max_n, bool)
-                on[np.flatnonzero(words.follow > 0)] = known[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
+                on[np.flatnonzero(words.follow > 0)] = pairs
                 more, going = np.zeros(len(words.starts), np.int64), np.ones(len(words.starts), bool)
                 for i in range(max_n - 1):
                     going &= on[i : i + len(going)] & (words.follow > i)
@@ -158,15 +170,16 @@ def _suffixes(frequent, bits: int, max_n: int):
                     own = np.flatnonzero(code == c)
                     if not len(own):
                         continue
+                    total, own = len(own), own[(often[own] > 0) | (more[own] > 0)]
                     start, stop = words.starts[own], words.ends[own + more[own]]
                     size = stop - start
                     upto = np.cumsum(size)
-                    raw = words.data[np.repeat(start - upto + size, size) + np.arange(int(upto[-1]))]
+                    raw = words.data[np.repeat(start - upto + size, size) + np.arange(int(size.sum()))]
                     spots = np.append(0, upto).astype(np.int64)
                     texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(spots), pa.py_buffer(raw)])
                     tally = pc.value_counts(texts)
                     values = pa.concat_arrays([tally.field("values"), pa.array([b""], pa.large_binary())]).cast(pa.binary())
-                    counts = pa.concat_arrays([tally.field("counts"), pa.array([len(own)], pa.int64())])
+                    counts = pa.concat_arrays([tally.field("counts"), pa.array([total], pa.int64())])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), values, counts], names=["lang", "suffix", "n"])
 
     return run

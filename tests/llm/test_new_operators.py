@@ -172,6 +172,23 @@ def expected_phrases(rows, top, least):
     return sorted(out)
 
 
+def test_rare_words_are_not_shuffled():
+    import pyarrow as pa
+
+    texts = ["new york " * 5 + f"rare{i} new averyveryverylongword{i % 2}" for i in range(40)] + ["rare1 alone", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    slices = sorted(phrases._pair_tables(20, 4, 15)(iter([batch])), key=lambda b: b.column(0)[0].as_py())
+    known = np.zeros(1 << 17, np.uint8)
+    for b in phrases._frequent_places(15)(iter(slices)):
+        at, bits = b.column(0)[0].as_py() >> 3, np.frombuffer(b.column(1)[0].as_py(), np.uint8)
+        known[at : at + len(bits)] = bits
+    broadcast = type("Broadcast", (), {"value": known.tobytes()})
+    found = [r for b in phrases._suffixes(broadcast, 20, 4)(iter([batch])) for r in b.to_pylist()]
+    single = {r["suffix"]: r["n"] for r in found if r["suffix"].count(b" ") == 1}
+    assert single.keys() == {b"york ", b"averyveryverylongword0 ", b"averyveryverylongword1 "}  # before, every rare word came too
+    assert sum(r["n"] for r in found if not r["suffix"]) == 40 * 13 + 2  # and all words count
+
+
 def phrase_rows():
     rng = random.Random(4)
     words = ["of", "the", "and", "New", "York", "city", "hall", "a\x01", "a", "naïve", "x" * 40, "été"]
