@@ -172,6 +172,15 @@ def expected_phrases(rows, top, least):
     return sorted(out)
 
 
+def test_one_order_is_counted_alone():
+    words = np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    block = {"words": words, "tokens": np.random.default_rng(1).integers(0, 49, 3000), "lengths": np.array([1, 2, 1997, 1000])}
+    every = list(ngram_lm._grams(block, 3))
+    for n in (1, 2, 3):
+        (alone,) = ngram_lm._grams(block, n, n)
+        assert all((x == y).all() for x, y in zip(alone, every[n - 1], strict=True))
+
+
 def test_rare_words_are_not_shuffled():
     import pyarrow as pa
 
