@@ -138,3 +138,13 @@ def test_words_of_the_language_model():
     data = np.frombuffer(" ".join(TEXTS).encode(), np.uint8)
     hashes, before = ngram_lm.word_hashes(data, np.array([0, len(data)]), lower=False)
     assert before[-1] == len(TEXTS) == len(set(hashes.tolist()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000, 70000])
+def test_distinct_equals_unique(n):
+    rng = np.random.default_rng(n)
+    h = rng.integers(0, 1 << 64, max(1, n // 2), dtype=np.uint64)[rng.integers(0, max(1, n // 2), n)]
+    h[: n // 4] = (h[: n // 4] & ~np.uint64(7)) | rng.integers(0, 8, n // 4, dtype=np.uint64)  # differ in the bits that hold the place
+    keys, place = hashing.distinct(h)
+    want, where = np.unique(h, return_inverse=True)
+    assert (keys == want).all() and (place == where).all() and len(keys) == len(want)

@@ -323,3 +323,37 @@ def test_automaton_in_segments(longest):
         at += n
         want.append(total)
     assert np.allclose(machine.score(words, lengths, 1, longest), want)
+
+
+def test_sums_of_contexts_are_small_whole_numbers():
+    """Fractions took 16 bytes a context on the way to the buckets and 8 on the way back."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
+    block = {"block": 7, "words": words, "tokens": np.append(rng.zipf(1.5, 20000) % 60, np.arange(60)), "lengths": np.array([12000, 8060])}
+    answers = []
+    for n, (keys, _, place) in enumerate(ngram_lm._grams(block, 3), 1):
+        count = np.bincount(place)
+        kept = count * (count >= (2 if n > 1 else 1))
+        rows = pa.Table.from_batches([ngram_lm._dealt(7, keys, 6, count)])
+        answers.append(ngram_lm._answers(rows, rows.column("size").to_numpy(), n, 2 * kept + (kept > 0), 0, 0))
+    made = ngram_lm.Block(block, 3, pa.concat_tables(answers), 20060, 60)
+    text, cut = block["tokens"].tolist(), {12000}
+    grams = [collections.Counter(tuple(text[i - n + 1 : i + 1]) for i in range(n - 1, len(text)) if not cut & set(range(i - n + 2, i + 1))) for n in (1, 2, 3)]
+    c = {g: k for n, counts in enumerate(grams) for g, k in counts.items() if k > 1 or n == 0}
+    total = 20060 + 0.1 * 61
+    p = lambda g: (c[g] + 0.1) / total if len(g) == 1 else (c[g] - 0.5) / c[g[:-1]]
+    for n in (2, 3):
+        keys, mass, below = made.sums(n)
+        assert mass.dtype == below.dtype == np.int64
+        assert len(ngram_lm._packed(mass)) + len(ngram_lm._packed(below)) < 4 * len(keys) + 200
+        rows = pa.Table.from_batches([ngram_lm._dealt(7, keys, 6, mass, below)])
+        each = [ngram_lm._weighed(rows.filter(pa.compute.equal(rows.column("bucket"), b)), -n) for b in set(rows.column("bucket").to_pylist())]
+        weights = made.weights(n, pa.concat_tables(each))
+        at = made.last(n - 1)[made.contexts(n)]
+        for weight, i in zip(weights.tolist(), at.tolist(), strict=True):
+            context = tuple(text[i - n + 2 : i + 1])
+            arcs = [g for g in c if len(g) == n and g[:-1] == context]
+            want = (1 - sum(map(p, arcs))) / (1 - sum(p(g[1:]) for g in arcs))
+            assert weight == pytest.approx(np.log10(want), abs=1e-9)
