@@ -68,6 +68,7 @@ class Coder:
         self.slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.limit_shift = np.uint64(64 - bits)
         self.slot_mask = np.uint64((1 << bits) - 1)
+        self.rest = np.uint64(1 << bits) - self.freq
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, segment: int = SEGMENT_STEPS) -> dict:
         """A block as its words, and the decoder's states and word offsets at each checkpoint."""
@@ -75,22 +76,27 @@ class Coder:
         steps = -(-n // lanes)
         state = np.full(lanes, _LOW, np.uint64)
         parts, marks, written = [], [], 0
-        for t in range(steps - 1, -1, -1):
-            here = ids[t * lanes : (t + 1) * lanes]
-            k = len(here)
-            f, x = self.freq[here], state[:k]
-            over = (x >> self.limit_shift) >= f
-            if over.any():
-                parts.append((x[over] & _MASK32).astype("<u4"))
-                written += len(parts[-1])
-                x[over] >>= np.uint64(32)
-            q = x // f
-            state[:k] = (q << self.bits) + (x - q * f) + self.cum[here]
-            if t % segment == 0:
-                marks.append((written, state.astype("<u8").tobytes()))
+        span = lanes * segment
+        for lo in range((steps - 1) // segment * span, -1, -span):
+            here = ids[lo : lo + span]
+            freq, rest, cum = self.freq[here], self.rest[here], self.cum[here]
+            for i in range((len(here) - 1) // lanes * lanes, -1, -lanes):
+                f = freq[i : i + lanes]
+                x = state[: len(f)]
+                over = np.flatnonzero((x >> self.limit_shift) >= f)
+                if len(over):
+                    full = x[over]
+                    parts.append((full & _MASK32).astype("<u4"))
+                    written += len(full)
+                    x[over] = full >> np.uint64(32)
+                # (x // f << bits) + x % f + cum
+                q = x // f
+                q *= rest[i : i + lanes]
+                x += q
+                x += cum[i : i + lanes]
+            marks.append((written, state.astype("<u8").tobytes()))
         words = np.concatenate(parts[::-1]) if parts else np.zeros(0, "<u4")
         marks = marks[::-1]
-        span = lanes * segment
         return {
             "n_tokens": n,
             "lanes": lanes,

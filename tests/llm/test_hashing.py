@@ -56,6 +56,19 @@ def test_units_equal_the_library(monkeypatch, hashes):
     assert encoded(encoder, texts) == library(texts) == encoded(encoder, texts)
 
 
+def test_units_are_learned_without_a_call_each():
+    """New words took four calls of Python each, as long as the library took for them."""
+    import cProfile
+    import pstats
+
+    texts = [" ".join(f"w{i * 977 + j}q, x{j}\u00e9{i}" for j in range(400)) for i in range(25)]
+    encoder, profile = tokens.UnitEncoder(), cProfile.Profile()
+    got = profile.runcall(encoded, encoder, texts)
+    calls = sum(n for (file, _, name), (_, n, *_) in pstats.Stats(profile).stats.items() if name != "<listcomp>")
+    assert got == library(texts)
+    assert len(encoder._known) >= 19000 and calls < 5000
+
+
 def documents(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
 
