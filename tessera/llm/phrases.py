@@ -5,10 +5,12 @@
 2.  What can't be frequent isn't shuffled: a first pass counts words and word pairs in a table of ``1 << sketch_bits`` saturating bytes a task; slices of
     them are added up by slice. A pair whose place holds less than ``min_count`` occurs less often, so a suffix is cut in front of it; a suffix of one such
     word goes. That loses nothing, as each part of a frequent phrase is frequent. The bits, one per place, are broadcast: their size is fixed by the parameter.
-3.  Equal suffixes of a run of texts are one row with a count, so a hot word is a row per run and not per occurrence. The rows are
-    dealt out in ranges of (language, suffix) and sorted in reverse: words of a hot first word, and a hot phrase, spread over as many tasks as their rows fill.
+3.  Equal suffixes of some runs of texts are one row with a count, so a hot word is a row per ``TALLY_BYTES`` and not per occurrence. The rows are
+    dealt out in ranges of (code, language, suffix) and sorted: words of a hot first word, and a hot phrase, spread over as many tasks as their rows fill. The code holds
+    24 bits of the first word's hash with its language, then 16 of the second's, so that most comparisons are of two numbers.
 4.  One pass with a stack: all rows with the same first n words follow each other, so a stack of ``max_n`` open prefixes, of which those that the next row
     doesn't share are closed, counts every prefix. A prefix that may go on in the next range is passed on as it is; a sum merges these.
+    First words whose 24 bits are equal may lie between each other, so their counts are passed on too.
 5.  Parts and longer phrases are joined by text afterwards.
 
 Suffixes carry a separator behind each word, so that a prefix of words is a prefix of bytes whatever bytes the words hold. Scores are decimals of 38 digits.
@@ -24,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,12 @@ from tessera.llm.common import discard, materialize, spread, table
 from tessera.llm.hashing import mix, text_chunks
 
 _U = np.uint64
-#: Bytes of text whose equal suffixes become one row.
-RUN_BYTES = 8 << 20
+#: Bytes of text that are cut into words at once.
+RUN_BYTES = 4 << 20
+#: Bytes of text, in runs, whose equal suffixes become one row.
+TALLY_BYTES = 32 << 20
+#: Suffixes that leave a task at once.
+BATCH_ROWS = 1 << 16
 #: Places of the table of words and pairs that travel in one row.
 SLICE = 1 << 16
 #: How many parts a language's phrases are ranked in before the last ranking.
@@ -63,7 +68,7 @@ class Words:
         first = solid[1:-1] & (~solid[:-2] | edge[:-1])
         last = solid[1:-1] & (~solid[2:] | edge[1:])
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        breaks = np.cumsum((kind == 2) | edge[:-1])
+        breaks = np.cumsum((kind == 2) | edge[:-1], dtype=np.int32)
         piece = breaks[starts] if len(starts) else starts
         size = ends - starts + 1
         self.starts = np.cumsum(size) - size
@@ -81,11 +86,8 @@ class Words:
             same[: max(0, n - i)] = piece[: max(0, n - i)] == piece[i:]
             self.follow += same
 
-    def places(self, salt: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each word, and of the pair of each word that another follows, in a table of ``1 << bits``.
-
-        Equal words, and equal pairs, of a language have equal places.
-        """
+    def hashes(self) -> np.ndarray:
+        """A hash of each word."""
         h, live, at = np.zeros(len(self.starts), _U), np.arange(len(self.starts)), self.starts
         data = np.append(self.data, np.zeros(8, np.uint8))
         size = self.ends - self.starts
@@ -97,6 +99,14 @@ class Words:
             h[live] = mix(h[live] * _U(0x9FB21C651E98DF25) + part)
             more = size > 8
             live, at, size = live[more], at[more] + 8, size[more] - 8
+        return h
+
+    def places(self, salt: np.ndarray, bits: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word, and of the pair of each word that another follows, in a table of ``1 << bits``.
+
+        Equal words, and equal pairs, of a language have equal places. ``h``: the words' hashes, if they are known.
+        """
+        h = self.hashes() if h is None else h
         pair = np.flatnonzero(self.follow > 0)
         salt = salt[self.text]
         place = lambda x: (mix(x) >> _U(64 - bits)).astype(np.int64)
@@ -148,86 +158,139 @@ def _frequent_places(enough: int):
     return run
 
 
+def _spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes from each start on."""
+    upto = np.cumsum(size)
+    raw = data[np.repeat(start - upto + size, size) + np.arange(int(size.sum()))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, upto).astype(np.int64)), pa.py_buffer(raw)])
+
+
+def _tally(suffixes: pa.LargeBinaryArray, codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """The distinct suffixes with their codes and how often each occurs."""
+    told = suffixes.dictionary_encode()
+    at = told.indices.to_numpy()
+    code = np.empty(len(told.dictionary), np.int64)
+    code[at] = codes
+    return told.dictionary, code, np.bincount(at, counts, len(code)).astype(np.int64)
+
+
 def _suffixes(frequent, bits: int, max_n: int):
-    """Batches of (lang, text) to lang, suffix, n: the truncated suffixes of a run of texts; the empty suffix counts the words."""
+    """Batches of (lang, text) to lang, suffix, n, code: the truncated suffixes of some runs of texts; the empty suffix counts the words."""
+
+    def rows(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, runs in held.items():
+            suffixes, codes, counts = zip(*runs, strict=True)
+            suffixes, codes, counts = _tally(pa.concat_arrays(suffixes), np.concatenate(codes), np.concatenate(counts))
+            runs.clear()
+            order = np.argsort(codes)  # neighbours begin alike, which packs well
+            suffixes = suffixes.take(pa.array(order)).cast(pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array([lang] * len(order), pa.string()), suffixes, pa.array(counts[order]), pa.array(codes[order])], names=["lang", "suffix", "n", "code"])
+            del suffixes, codes, counts, order
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
+            del batch
+        held.clear()
+        pa.default_memory_pool().release_unused()  # a worker outlives its task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(frequent.value, np.uint8)
+        held: dict[str, list] = {}
+        size = 0
         for batch in batches:
             for lo, data, offsets in text_chunks(batch.column(1), RUN_BYTES):
+                if size + len(data) > TALLY_BYTES:
+                    yield from rows(held)
+                    size = 0
+                size += len(data)
                 langs = batch.column(0).slice(lo, len(offsets) - 1)
-                words = Words(data, offsets, max_n)
-                often, pairs = (known[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1 for p in words.places(_salts(langs), bits))
+                words, salts = Words(data, offsets, max_n), _salts(langs)
+                h = words.hashes()
+                often, pairs = (known[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1 for p in words.places(salts, bits, h))
                 on = np.zeros(len(words.starts) + max_n, bool)
                 on[np.flatnonzero(words.follow > 0)] = pairs
                 more, going = np.zeros(len(words.starts), np.int64), np.ones(len(words.starts), bool)
                 for i in range(max_n - 1):
                     going &= on[i : i + len(going)] & (words.follow > i)
                     more += going
-                codes = langs.dictionary_encode()
-                code = codes.indices.to_numpy()[words.text] if len(words.starts) else np.zeros(0, int)
-                for c, lang in enumerate(codes.dictionary.to_pylist()):
-                    own = np.flatnonzero(code == c)
+                spoken = langs.dictionary_encode()
+                of_word = spoken.indices.to_numpy()[words.text] if len(words.starts) else np.zeros(0, int)
+                for c, lang in enumerate(spoken.dictionary.to_pylist()):
+                    own = np.flatnonzero(of_word == c)
                     if not len(own):
                         continue
                     total, own = len(own), own[(often[own] > 0) | (more[own] > 0)]
-                    start, stop = words.starts[own], words.ends[own + more[own]]
-                    size = stop - start
-                    upto = np.cumsum(size)
-                    raw = words.data[np.repeat(start - upto + size, size) + np.arange(int(size.sum()))]
-                    spots = np.append(0, upto).astype(np.int64)
-                    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(spots), pa.py_buffer(raw)])
-                    tally = pc.value_counts(texts)
-                    values = pa.concat_arrays([tally.field("values"), pa.array([b""], pa.large_binary())]).cast(pa.binary())
-                    counts = pa.concat_arrays([tally.field("counts"), pa.array([total], pa.int64())])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), values, counts], names=["lang", "suffix", "n"])
+                    first, second = mix(h[own] + salts[words.text[own]]), np.where(more[own] > 0, h[np.minimum(own + 1, len(h) - 1)], _U(0))
+                    codes = (first >> _U(40) << _U(16) | second >> _U(48)).view(np.int64)
+                    spans = _spans(words.data, words.starts[own], words.ends[own + more[own]] - words.starts[own])
+                    every = pa.array([b""], pa.large_binary()), np.zeros(1, np.int64), np.array([total])
+                    held.setdefault(lang, []).extend([_tally(spans, codes), every])
+        yield from rows(held)
 
     return run
 
 
+class _Sorted:
+    """A batch of sorted (lang, suffix, n): how many words each row has, and how many bytes its first 1 to ``max_n`` words and those it shares with the row before take."""
+
+    def __init__(self, batch: pa.RecordBatch, max_n: int):
+        self.lang = batch.column(0).dictionary_encode()
+        suffix = batch.column(1).cast(pa.large_binary())
+        self.n = batch.column(2).to_numpy()
+        at = np.frombuffer(suffix.buffers()[1], np.int64)[suffix.offset : suffix.offset + len(suffix) + 1]
+        self.data, self.at = np.frombuffer(suffix.buffers()[2], np.uint8), at
+        spaces = np.flatnonzero(self.data[: at[-1]] == 0x20) + 1
+        before = np.searchsorted(spaces, at, "right")
+        self.depth = np.minimum(np.diff(before), max_n)
+        self.ends = [spaces[np.minimum(before[:-1] + d, len(spaces) - 1)] - at[:-1] for d in range(max_n)]
+        size = np.minimum(np.diff(at)[1:], np.diff(at)[:-1])
+        upto = np.cumsum(size)
+        place = np.arange(int(size.sum()))
+        unlike = np.flatnonzero(self.data[np.repeat(at[1:-1] - upto + size, size) + place] != self.data[np.repeat(at[:-2] - upto + size, size) + place])
+        unlike = np.append(unlike, len(place))
+        same = np.minimum(unlike[np.searchsorted(unlike, upto - size)] - (upto - size), size)
+        lang = self.lang.indices.to_numpy()
+        self.shared = np.append(-1, np.where(lang[1:] == lang[:-1], same, -1))
+
+
 def _prefix_counts(max_n: int, min_count: int):
-    """Sorted (lang, suffix, n) to lang, phrase, n: the counts of all prefixes, without those that are complete and too rare."""
+    """Sorted (lang, suffix, n) or (lang, suffix, n, code) to lang, phrase, n: the counts of all prefixes, without those that are complete and too rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the stack: of each depth the open prefix, its count, and whether it may have begun in the range before
-        stack: list[tuple[str, bytes, int, bool] | None] = [None] * (max_n + 1)
-        out: list[tuple[str, bytes, int]] = []
-
-        def close(depth: int, last: bool) -> None:
-            if stack[depth]:
-                lang, prefix, n, first = stack[depth]
-                if first or last or n >= min_count:
-                    out.append((lang, prefix, n))
-                stack[depth] = None
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], names=["lang", "phrase", "n"])
-
-        began = False
-        for batch in batches:
-            for lang, suffix, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cut = 0
-                for depth in range(1, max_n + 1):
-                    cut = suffix.find(b" ", cut) + 1
-                    if not cut:
-                        for d in range(depth, max_n + 1):
-                            close(d, False)
-                        break
-                    open_one = stack[depth]
-                    if open_one and open_one[0] == lang and len(open_one[1]) == cut and suffix.startswith(open_one[1]):
-                        stack[depth] = (lang, open_one[1], open_one[2] + n, open_one[3])
-                        continue
-                    for d in range(depth, max_n + 1):
-                        close(d, False)
-                    stack[depth] = (lang, suffix[:cut], n, not began)
-                began = True
-            if len(out) > 10_000:
-                yield flush()
-        for d in range(1, max_n + 1):
-            close(d, True)
-        yield flush()
+        # the stack: the last row before, and of each depth the count of its open prefix and whether there may be more of it, as in the range before
+        last, stack = None, [(0, True)] * max_n
+        for batch in (b for b in batches if b.num_rows):
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            rows = _Sorted(batch, max_n)
+            for d in range(max_n):
+                own = np.flatnonzero(rows.depth > d)
+                if not len(own):
+                    stack[d] = (0, False)
+                    continue
+                opens = np.flatnonzero(rows.shared[own] < rows.ends[d][own])
+                n, part = np.add.reduceat(rows.n[own], opens), np.zeros(len(opens), bool)
+                if own[0] == 0:
+                    n[0], part[0] = n[0] + stack[d][0], stack[d][1]
+                if not d and batch.num_columns > 3:
+                    code = batch.column(3).to_numpy()[own[opens]] >> 16
+                    part[1:] |= code[1:] == code[:-1]
+                    part[:-1] |= code[1:] == code[:-1]
+                out, stack[d] = part | (n >= min_count), (0, False)
+                if own[-1] == batch.num_rows - 1:
+                    stack[d], out[-1] = (int(n[-1]), bool(part[-1])), False
+                at = own[opens[out]]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.lang.take(pa.array(at)).cast(pa.string()), _spans(rows.data, rows.at[at], rows.ends[d][at]).cast(pa.binary()), pa.array(n[out])], names=["lang", "phrase", "n"]
+                )
+            end = batch.slice(batch.num_rows - 1)
+            last = pa.RecordBatch.from_arrays([*end.columns[:2], pa.array([0], pa.int64()), *end.columns[3:]], schema=batch.schema)
+        if last is not None:
+            words = last.column(1)[0].as_py().split(b" ")[:-1][:max_n]
+            phrases = [b"".join(w + b" " for w in words[: d + 1]) for d in range(len(words))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(last.column(0).to_pylist() * len(words), pa.string()), pa.array(phrases, pa.binary()), pa.array([n for n, _ in stack[: len(words)]], pa.int64())],
+                names=["lang", "phrase", "n"],
+            )
 
     return run
 
@@ -241,9 +304,9 @@ def frequencies(docs: DataFrame, lang_col: str, text_col: str, max_n: int, min_c
     for r in slices.mapInArrow(_frequent_places(min(min_count, 255)), "at long, bits binary").toLocalIterator():  # 1 << sketch_bits bits in all
         known[r["at"] >> 3 : (r["at"] >> 3) + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     frequent = spark.sparkContext.broadcast(known.tobytes())
-    suffixes = materialize(texts.mapInArrow(_suffixes(frequent, sketch_bits, max_n), "lang string, suffix binary, n long"), "suffixes", compression="zstd")
+    suffixes = materialize(texts.mapInArrow(_suffixes(frequent, sketch_bits, max_n), "lang string, suffix binary, n long, code long"), "suffixes", compression="zstd")
     words = materialize(suffixes.where(F.length("suffix") == 0).groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    ordered = [F.desc("lang"), F.desc("suffix")]
+    ordered = [F.asc("code"), F.desc("lang"), F.desc("suffix")]
     dealt = suffixes.where(F.length("suffix") > 0).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *ordered).sortWithinPartitions(*ordered)
     parts = dealt.mapInArrow(_prefix_counts(max_n, min_count), "lang string, phrase binary, n long")
     counts = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)

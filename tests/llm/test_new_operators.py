@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -228,6 +229,50 @@ def test_prefix_counts_over_ranges(spark):
     assert found[b"a "] == 45 and found[b"a\x01 "] == 3
 
 
+def test_equal_suffixes_of_several_runs_are_one_row(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "RUN_BYTES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 100), pa.array(["of the city hall, of the\n"] * 200)], names=["lang", "text"])
+    broadcast = type("Broadcast", (), {"value": b"\xff" * (1 << 13)})
+    found = collections.Counter()
+    for b in phrases._suffixes(broadcast, 16, 4)(iter([batch])):
+        for r in b.to_pylist():
+            assert not r["suffix"] or (r["lang"], r["suffix"]) not in found  # before, a row for each run
+            found[r["lang"], r["suffix"]] += r["n"]
+    once = {b"of the city hall ": 100, b"the city hall ": 100, b"city hall ": 100, b"hall ": 100, b"of the ": 100, b"the ": 100, b"": 600}
+    assert found == {(lang, k): n for lang in ("en", "de") for k, n in once.items()}
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+@pytest.mark.parametrize("bits", [0, 2, 20])
+def test_prefix_counts_in_any_batches(size, bits):
+    """Codes of few bits let first words lie between each other: their counts are passed on in parts, and nothing is lost."""
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    suffixes = collections.Counter()
+    for _ in range(3000):
+        suffixes[rng.choice(["en", "de", ""]), b"".join(rng.choice([b"a ", b"b ", "é ".encode(), b"a\x01 ", b"abc "]) for _ in range(rng.randint(1, 4)))] += rng.randint(1, 3)
+    want = collections.Counter()
+    for (lang, suffix), n in suffixes.items():
+        words = suffix.split(b" ")[:-1]
+        for d in range(len(words)):
+            want[lang, b"".join(w + b" " for w in words[: d + 1])] += n
+
+    def code(lang, suffix):
+        first, second = (suffix.split(b" ") + [b""])[:2]
+        return (zlib.crc32(lang.encode() + first) & ((1 << bits) - 1)) << 16 | zlib.crc32(second) & 1
+
+    rows = sorted(((code(*k), *k, n) for k, n in suffixes.items()), key=lambda r: (r[0], [-x for x in r[1].encode()] + [1], [-x for x in r[2]] + [1]))
+    whole = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (3, 0))], names=["lang", "suffix", "n", "code"])
+    found = collections.Counter()
+    for b in phrases._prefix_counts(4, 30)(whole.slice(i, size) for i in range(0, len(rows), size)):
+        for r in b.to_pylist():
+            found[r["lang"], r["phrase"]] += r["n"]
+    assert {k: n for k, n in found.items() if n >= 30} == {k: n for k, n in want.items() if n >= 30}
+
+
 def expected_clusters(rows, k=16, rounds=3):
     kept = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
     order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))
