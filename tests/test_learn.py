@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -166,6 +168,75 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.neighbours(df, df.where("false"), 4).count() == 0
 
 
+def nearest_of(x, known, own, k, size=700):
+    """What one task returns, in the order of query, distance and id."""
+    flat = pa.array(known.ravel())
+    batches = []
+    for i in range(0, len(known), size):
+        at = pa.array(np.arange(i, min(i + size, len(known)) + 1, dtype=np.int32) * known.shape[1])
+        batches.append(pa.RecordBatch.from_arrays([pa.array(own[i : i + size]), pa.ListArray.from_arrays(at, flat), pa.array(own[i : i + size] % 2)], names=["id", "x", "y"]))
+    (found,) = neighbours._nearest(np.arange(len(x)), x, k)(iter(batches))
+    q, i, y, d = (found.column(c).to_numpy() for c in range(4))
+    assert (y == i % 2).all()
+    order = np.lexsort((i, d, q))
+    return q[order], i[order], d[order]
+
+
+@pytest.mark.parametrize("kind", ["plain", "far away", "huge", "tiny", "ties", "copies", "odd", "scales", "few"])
+def test_neighbours_passed_over_are_farther(monkeypatch, kind):
+    """Pairs that the bound in single precision leaves out are none of the nearest, on any scale; distances are those of double precision."""
+    monkeypatch.setattr(neighbours, "_TILE", 64)
+    rng = np.random.default_rng(5)
+    known, x, own = rng.normal(size=(2000, 9)), rng.normal(size=(150, 9)), rng.permutation(5000)[:2000]
+    if kind == "far away":
+        known, x = known + 1e10, x + 1e10
+    elif kind in ("huge", "tiny"):
+        known, x = (v * {"huge": 1e160, "tiny": 1e-170}[kind] for v in (known, x))
+    elif kind == "ties":
+        known, x = known.round(), x.round()
+    elif kind == "copies":
+        known[::3], known[1::7] = known[5], known[5] + 1e-9
+        x[::2] = known[5]
+    elif kind == "odd":
+        known[3], known[9, 2], known[11, 5], x[4], x[6, 1] = np.nan, np.inf, 1e300, np.nan, -np.inf
+    elif kind == "scales":
+        known = known * 10.0 ** rng.uniform(-20, 20, (2000, 1))
+        x = known[:150] * 1.01
+    elif kind == "few":
+        known, own = known[:3], own[:3]
+    with np.errstate(all="ignore"):
+        q, i, d = nearest_of(x, known, own, 15)
+        for a in range(len(x)):
+            far = ((x[a] - known) ** 2).sum(axis=1)
+            order = np.lexsort((own, far))[:15]
+            assert i[q == a].tolist() == own[order].tolist() and np.array_equal(d[q == a], far[order], equal_nan=True)
+
+
+def test_most_pairs_are_passed_over():
+    rng = np.random.default_rng(6)
+    known, x = rng.normal(size=(20_000, 64)), rng.normal(size=(2048, 64))
+    start = time.thread_time()
+    assert len(nearest_of(x, known, np.arange(20_000), 15, 10_000)[0]) == 2048 * 15
+    assert time.thread_time() - start < 5  # some 0.5 s; 9 s where each distance is worked out
+
+
+def test_cuts_are_exact(spark):
+    rng = np.random.default_rng(7)
+    n = 900
+    x = np.column_stack([rng.normal(size=n), rng.normal(size=n).round(1), np.full(n, -3.5), rng.normal(size=n) * 1e-310, rng.normal(size=n) * 10.0 ** rng.uniform(-300, 300, n), rng.normal(size=n), np.zeros(n)])
+    x[::3, 5], x[::2, 6] = np.inf, -0.0
+    rows = [([None if f == 0 and i % 4 == 0 else float(v) for f, v in enumerate(r)],) for i, r in enumerate(x)]
+    found = stumps.cuts(spark.createDataFrame(rows, "x array<double>").repartition(3), 7, 16)
+    for f in range(7):
+        own = np.sort(np.delete(x[:, f], np.s_[::4]) if f == 0 else x[:, f])
+        place = np.arange(1, 16) / 16 * (len(own) - 1)
+        a, b = np.floor(place), np.ceil(place)
+        low, high = own[a.astype(int)], own[b.astype(int)]
+        with np.errstate(invalid="ignore"):
+            assert found[f].tolist() == np.where((a == b) | (low == high), low, (b - place) * low + (place - a) * high).tolist()
+    assert not stumps.cuts(spark.createDataFrame([], "x array<double>"), 2, 4).any()
+
+
 def loss_of(net, x, y, positive_weight):
     """The mean loss on the batch's own moments, written down directly."""
     a = x
