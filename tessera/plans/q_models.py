@@ -248,8 +248,9 @@ def _vectors(s, d):
 
 
 def _fold_rows(s, d):
-    """Vectors, labels and folds, written once for all fits."""
-    return stored(models.as_vectors(_vectors(s, d), "embedding", "y", "vec_id", "fold"), "vectors")
+    """Vectors, labels and folds, written once for all fits in parts of equal size, one for each core: a table in one file, or of few row groups, would keep few cores busy in every fit."""
+    rows = models.as_vectors(_vectors(s, d), "embedding", "y", "vec_id", "fold")
+    return stored(rows.repartition(s.sparkContext.defaultParallelism, "id").sortWithinPartitions("id"), "vectors")
 
 
 @query()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.learn import attribution, moments, neighbours, stumps
 from tessera.nn import convolution, normalized, train
 from tessera.operators import clean, encode, profile, quantiles
-from tessera.plans import models
+from tessera.plans import models, q_models
 from tessera.prep.folded import FoldedSetup
 from tessera.sources import bundle, images, infer
 from tessera.streaming import latency, scoring
@@ -294,6 +294,15 @@ def test_models_score_after_an_observation(spark):
     assert models.fit(LogisticRegression(featuresCol="x", labelCol="y"), df).scored(df).count() == 60
 
 
+def test_every_core_gets_rows_of_the_fits(spark, tmp_path):
+    """Also where the vectors come in one file and one row group, and most are of one class."""
+    rows = spark.range(0, 4000, numPartitions=1).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"), F.when(F.col("id") % 50 == 0, 9).otherwise(0).alias("label"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = q_models._fold_rows(spark, str(tmp_path))
+    sizes = [r["count"] for r in stored.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1.2 * 4000 / spark.sparkContext.defaultParallelism
+
+
 def test_leaderboard_and_search_on_few_fits(spark):
     x, y = two_classes(90)
     df = labelled(spark, x, y).select("id", array_to_vector("x").alias("x"), F.col("y").cast("double").alias("y"), (F.col("id") % 2).cast("int").alias("fold"))
